@@ -11,7 +11,7 @@ Links are looked for in this order, so that large groups cost no pairs:
 2. In each bucket of a band, every member is compared with the bucket's most central member, the one that meets
    the most others over all bands.
 3. Members that this doesn't connect are compared with all other members of the bucket: as pairs in a small
-   bucket, as tiles of registers in a large one, of which only pairs that pass the estimate come out.
+   bucket, as tiles in a large one, of which only links come out.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .components import connected_components
 WORD_CACHE = 400_000
 #: Members up to which a bucket's remaining pairs are formed by a join; a larger one is compared in tiles.
 SMALL_BUCKET = 24
-#: Documents on a side of a tile.
-TILE = 2048
+#: Shingles on a side of a tile, about.
+TILE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +52,7 @@ class Config:
     rows: int = 6
     base: float = 1.02
     top: int = 4000
-    sigmas: float = 4.0
+    sigmas: float = 3.5
 
     @property
     def registers(self) -> int:
@@ -184,25 +184,28 @@ def _with_sigs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, c: Config) -> DataFrame:
-    """Likely pairs (a, b) in large buckets, of a member to do (todo) with any other of another component.
+    """Links (a, b) in large buckets, of a member to do (todo) to one of another component.
 
-    members: (key, node, n, sig, root, todo, size, todos). Both sides are dealt into parts of about TILE rows, and
-    a task compares a part with a part: neither a bucket nor its pairs are ever in one place.
+    members: (key, node, n, sig, hashes, root, todo, mass, todo_mass), the masses being the shingles of the bucket's
+    members and of those to do. Both sides are dealt into parts of about TILE shingles, and a task compares a part
+    with a part: neither a bucket nor its pairs are ever in one place. Pairs that the registers don't rule out are
+    verified on their sets at once; of the links of one member to one component the first is enough.
     """
     parts = lambda n: F.greatest(F.ceil(F.col(n) / TILE), F.lit(1)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), parts(n)).cast("int")
-    zero = lambda n: F.sequence(F.lit(0), parts(n) - 1)
-    left = members.where("todo").withColumn("side", F.lit(0)).withColumn("p", part("todos")).withColumn("q", F.explode(zero("size")))
-    right = members.withColumn("side", F.lit(1)).withColumn("q", part("size")).withColumn("p", F.explode(zero("todos")))
-    tiles = left.unionByName(right).select("key", "p", "q", "side", "node", "n", "sig", "root")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    left = members.where("todo").withColumn("side", F.lit(0)).withColumn("p", part("todo_mass")).withColumn("q", every("mass"))
+    right = members.withColumn("side", F.lit(1)).withColumn("q", part("mass")).withColumn("p", every("todo_mass"))
+    tiles = left.unionByName(right).select("key", "p", "q", "side", "node", "n", "sig", "hashes", "root")
 
     def run(t: pa.Table) -> pa.Table:
         def side(k):
             s = t.filter(pa.compute.equal(t["side"], k))
             reg = np.frombuffer(b"".join(s["sig"].to_pylist()), ">u2").astype(np.uint16).reshape(s.num_rows, -1) if s.num_rows else np.empty((0, c.registers), np.uint16)
-            return s["node"].to_pylist(), s["n"].to_numpy(), reg, s["root"].to_pylist()
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in s["hashes"]]
+            return s["node"].to_pylist(), s["n"].to_numpy(), reg, s["root"].to_pylist(), sets
 
-        (ids, n, reg, roots), (ids2, n2, reg2, roots2) = side(0), side(1)
+        (ids, n, reg, roots, sets), (ids2, n2, reg2, roots2, sets2) = side(0), side(1)
         names = {r: i for i, r in enumerate({*roots, *roots2})}
         root2, a, b = np.array([names[r] for r in roots2], np.int64), [], []
         for i in range(len(ids)):
@@ -212,20 +215,30 @@ def _tiles(members: DataFrame, c: Config) -> DataFrame:
                 other = reg2[at]
                 up, down = (other < reg[i]).sum(1), (other > reg[i]).sum(1)
                 j = likeliest(up, down, c.registers - up - down, np.full(len(at), n[i]), n2[at], c.base)
+                done = set()
                 for k in at[j >= _margin(c)]:
-                    a.append(min(ids[i], ids2[k]))
-                    b.append(max(ids[i], ids2[k]))
+                    if root2[k] not in done:
+                        both = len(np.intersect1d(sets[i], sets2[k], assume_unique=True))
+                        if 100 * both >= c.percent * (n[i] + n2[k] - both):
+                            done.add(root2[k])
+                            a.append(min(ids[i], ids2[k]))
+                            b.append(max(ids[i], ids2[k]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return tiles.groupBy("key", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def _verified(likely: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s: Scratch) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose full sets are similar enough. ids: (node, doc_id), one document of each node."""
-    needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+def _sets_of(needed: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s: Scratch) -> DataFrame:
+    """(node, hashes) of the nodes in ``needed``; ids: (node, doc_id), one document of each node."""
     wanted = s.put(ids.join(bounded(needed), "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct())
     texts = docs.select("doc_id", "text").join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = s.put(_sets(texts, c).join(bounded(needed), "node", "left_semi").dropDuplicates(["node"]))
+    return s.put(_sets(texts, c).join(bounded(needed), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(likely: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s: Scratch) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose full sets are similar enough."""
+    needed = s.put(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
+    sets = _sets_of(needed, docs, ids, c, s)
     pairs = likely
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}")), x)
@@ -269,16 +282,18 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa
         r = roots.select(F.col("node").alias("r_node"), "root")
         of = lambda df, node, name: df.join(bounded(r), F.col(node) == F.col("r_node"), "left").withColumn(name, F.coalesce("root", node)).drop("r_node", "root")
         state = of(met, "node", "own").join(bounded(of(centres, "centre", "main")), "key").withColumn("todo", F.col("own") != F.col("main"))
-        open_keys = state.groupBy("key").agg(F.sum(F.col("todo").cast("int")).alias("todos")).where("todos > 0")
-        state = s.put(state.join(bounded(open_keys), "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "todos"))
+        open_keys = state.groupBy("key").agg(F.sum("n").alias("mass"), F.sum(F.when(F.col("todo"), F.col("n"))).alias("todo_mass")).where("todo_mass > 0")
+        state = s.put(state.join(bounded(open_keys), "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "mass", "todo_mass"))
         few = state.where(F.col("size") <= SMALL_BUCKET)
         x = few.where("todo").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("r_x"))
         pairs = few.join(x, "key").where((F.col("root") != F.col("r_x")) & _close("n", "n_x", c))
         pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        likely = _likely(_with_sigs(pairs, sigs), c)
-        many = state.where(F.col("size") > SMALL_BUCKET).join(sigs.select("node", "sig"), "node")
-        likely = s.put(likely.union(_tiles(many, c)).distinct())
-        more = _verified(likely, docs, ids, c, s)
+        more = _verified(s.put(_likely(_with_sigs(pairs, sigs), c)), docs, ids, c, s)
+        many = state.where(F.col("size") > SMALL_BUCKET)
+        in_many = s.put(many.select("node").distinct())
+        if not in_many.isEmpty():
+            sets = _sets_of(in_many, docs, ids, c, s)
+            more = s.put(more.union(_tiles(many.join(sigs.select("node", "sig"), "node").join(sets, "node"), c)))
         links = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = connected_components(links, s) if not more.isEmpty() else roots
         named = s.put(roots.join(ids, "node"))

@@ -70,7 +70,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     units = units.select("doc_id", "row", "unit", _words(F.col("body")).alias("words"))
     # distinct words are at most one more than distinct bigrams
     units = units.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= F.lit(max(sizes) * hi)))
-    rest = F.size("words") - 1
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
     units = units.select("doc_id", "row", "unit", F.array_distinct(pairs).alias("grams")).withColumn("size", F.size("grams"))
     units = units.where(F.col("size").between(min(sizes) * lo, max(sizes) * hi))

@@ -1,13 +1,15 @@
 """License scans: Dice coefficient of word bigrams between normalised text and license templates.
 
 Units of a document are its lines and the whole text. A unit and a template can only reach the least coefficient
-if their numbers of bigrams are close, so units that fit no template by size are dropped before anything is joined.
+if their numbers of bigrams are close, so units that fit no template by size are dropped before anything is joined;
+and only if they share enough bigrams, so texts without a template's anchor words are not split at all.
 All of it is DataFrame expressions; what is broadcast is the templates, whose number is a fixed list.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def anchors(grams: list[str], least: float, common: Counter = Counter()) -> set[str]:  # noqa: B008
+    """Words of which a unit must hold one to reach ``least`` with the template of these bigrams.
+
+    Such a unit lacks at most t - least * (s + t) / 2 of the template's t bigrams, s being at least the least size
+    that fits; words that are in more bigrams than that can't all be missing. Longer and less ``common`` words are
+    taken first.
+    """
+    t = len(grams)
+    may_lack = int(t - least * (1 + least / (2 - least)) * t / 2 + 1e-9)
+    chosen, met = set(), set()
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-min(len(w), 4), common[w], -len(w), w)):
+        if len(met) > may_lack:
+            break
+        new = {g for g in grams if w in g.split()} - met
+        if new:
+            chosen.add(w)
+            met |= new
+    return chosen
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """(doc_id, n_units, license, dice, template, unit, licenses) for each row of ``docs`` (doc_id, text).
 
@@ -64,10 +86,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     sizes = [len(g) for g in grams if g] or [0]
     table = spark.createDataFrame([(i, templates[i][0], len(g), x) for i, g in enumerate(grams) for x in g], "template int, license string, t_size int, gram string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = F.split("text", "\\r\\n|\\n|\\r")
-    whole = F.when(F.size(lines) > 1, F.col("text"))
-    units = rows.select("doc_id", "row", F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "body")).where("body <> ''")
-    units = units.select("doc_id", "row", "unit", _words(F.col("body")).alias("words"))
+    # a text without any template's anchors has no unit that reaches the least coefficient
+    body, hold = F.lower("text"), F.lit(False)
+    common = Counter(w for g in grams for w in {w for x in g for w in x.split()})
+    for w in sorted(set().union(*[anchors(g, least, common) for g in grams if g]), key=lambda w: (-len(w), w)):
+        hold = hold | (F.contains(body, F.lit(w)) if len(w) > 3 else body.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    lines = F.transform(F.split("text", "\\r\\n|\\n|\\r"), _words)
+    held = rows.where(hold).select("doc_id", "row", F.explode(F.array(lines)).alias("lines"))
+    whole = F.when(F.size("lines") > 1, F.flatten("lines"))
+    units = held.select("doc_id", "row", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("unit", "words"))
     # distinct words are at most one more than distinct bigrams
     units = units.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= F.lit(max(sizes) * hi)))
     rest = F.greatest(F.size("words") - 1, F.lit(0))

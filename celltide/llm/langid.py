@@ -283,5 +283,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
             langs, probs = score(b.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": probs})
 
-    return run(F.col(text))
+    # said to be nondeterministic, as a filter on the result would otherwise be pushed down with a second evaluation
+    return run.asNondeterministic()(F.col(text))
 

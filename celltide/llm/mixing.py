@@ -52,6 +52,17 @@ def _slice(z: str, level: int) -> Column:
     return F.pmod(F.floor(at).cast("long"), F.lit(SLICES)) if level else F.least(F.floor(at).cast("long"), F.lit(SLICES - 1))
 
 
+def _rank(want: Column, size: Column, u: Column) -> Column:
+    """Random odds over inclusion odds, as a number in (0, 1); null for a document that isn't drawn."""
+    p = want - F.floor(want).cast("long")
+    odds = (u / (1 - u)) / (p / (1 - p))
+    return F.when((p > 0) & (size > 0), odds / (1 + odds))
+
+
+def _wish(weight_col: str | None) -> Column:
+    return F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), total_share: float = 1.5, cap: float = 2.0, seed: str = "mix", weight_col: str | None = None, max_rounds: int = 20) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of ``docs`` (doc_id, text, source).
 
@@ -61,45 +72,69 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), total_share: fl
     on seed and doc_id only, so reruns agree; equal doc_ids share it, and ties go by size. Other columns of
     ``docs`` are ignored. An empty input gives an empty result.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as s:
-        wish = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-        base = s.put(docs.select("doc_id", "source", word_count().alias("size"), wish.alias("wish"), uniform(F.col("doc_id"), seed).alias("u")))
-        targets = s.put(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), total_share, cap))
-        t = bounded(targets.withColumnRenamed("source", "t_source"))
-        same = F.col("source").eqNullSafe(F.col("t_source"))
-        if weight_col is None:
-            factors = targets.select(F.col("source").alias("c_source"), (F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("c"))
-        else:
-            factors = _factors(base, targets, cap, max_rounds, s)
-        c = bounded(factors)
-        wanted = base.join(t, same, "left").drop("t_source").join(c, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-        wanted = wanted.withColumn("want", F.least(F.lit(float(cap)), F.col("c") * F.col("wish"))).withColumn("certain", F.floor("want").cast("long"))
-        p = F.col("want") - F.col("certain")
-        odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-        ranked = s.put(wanted.withColumn("z", F.when((p > 0) & (F.col("size") > 0), odds / (1 + odds))).drop("u", "wish", "c", "want"))
-        # words still wanted after the certain copies, by source
-        rest = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-        full = s.put(rest.select(F.col("source").alias("r_source"), (F.col("target") - F.col("sure")).alias("rest")))
-        rows = ranked.where("z is not null").withColumn("s0", _slice("z", 0)).withColumn("s1", _slice("z", 1))
-        full = s.put(_filled(rows, full, []))
-        full = s.put(_filled(rows, full, ["s0"]))
-        at = bounded(full)
-        joined = ranked.join(at, F.col("source").eqNullSafe(F.col("r_source")), "left").drop("r_source")
-        joined = joined.withColumn("s0", _slice("z", 0)).withColumn("s1", _slice("z", 1))
-        place = F.when(F.col("z").isNull() | F.col("r_s0").isNull(), F.lit(1))
-        place = place.when((F.col("s0") < F.col("r_s0")) | ((F.col("s0") == F.col("r_s0")) & (F.col("s1") < F.col("r_s1"))), F.lit(-1))
-        place = place.when((F.col("s0") == F.col("r_s0")) & (F.col("s1") == F.col("r_s1")), F.lit(0)).otherwise(F.lit(1))
-        placed = joined.withColumn("place", place)
-        inside = placed.where("place = 0")
-        order = Window.partitionBy("source").orderBy("z", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("size").over(order), F.lit(0))
-        # the document that crosses the mark is taken if that brings the words nearer to the target
-        inside = inside.withColumn("more", (before + F.col("size") / 2.0 <= F.col("rest")).cast("long"))
-        outside = placed.where("place <> 0").withColumn("more", (F.col("place") == -1).cast("long"))
-        copies = (F.col("certain") + F.col("more")).alias("copies")
-        out = inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", copies)
-        return s.keep(out.withColumn("taken", F.col("copies") * F.col("size")))
+    with Scratch(docs.sparkSession) as s:
+        out, _ = _decide(docs, s, weights, total_share, cap, seed, weight_col, max_rounds)
+        return s.keep(out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def repeat(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), total_share: float = 1.5, cap: float = 2.0, seed: str = "mix", weight_col: str | None = None, max_rounds: int = 20) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` holds it; parameters and cases as there.
+
+    What is decided comes down to a rate and a last place in the order for each source, so texts are never
+    shuffled. Rows alike in doc_id, source and size share one place: all are drawn if one is.
+    """
+    with Scratch(docs.sparkSession) as s:
+        out, factors = _decide(docs, s, weights, total_share, cap, seed, weight_col, max_rounds)
+        place = lambda z, doc_id, size: F.struct(z.alias("z"), doc_id.alias("doc_id"), size.alias("size"))
+        last = out.where("copies > certain").groupBy("source").agg(F.max(place(F.col("z"), F.col("doc_id"), F.col("size"))).alias("__last"))
+        rates = factors.join(last, F.col("source").eqNullSafe(F.col("c_source")), "left")
+        rates = bounded(s.keep(rates.select(F.col("c_source").alias("__source"), F.col("c").alias("__c"), "__last")))
+        rows = docs.withColumn("__size", word_count()).withColumn("__u", uniform(F.col("doc_id"), seed)).withColumn("__wish", _wish(weight_col))
+        rows = rows.join(rates, F.col("source").eqNullSafe(F.col("__source")))
+        rows = rows.withColumn("__want", F.least(F.lit(float(cap)), F.col("__c") * F.col("__wish")))
+        rows = rows.withColumn("__z", _rank(F.col("__want"), F.col("__size"), F.col("__u")))
+        drawn = F.col("__z").isNotNull() & F.col("__last").isNotNull() & (place(F.col("__z"), F.col("doc_id"), F.col("__size")) <= F.col("__last"))
+        copies = (F.floor("__want") + F.coalesce(drawn, F.lit(False)).cast("int")).cast("int")
+        rows = rows.withColumn("__copies", copies).where("__copies > 0")
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def _decide(docs: DataFrame, s: Scratch, weights: list[float], total_share: float, cap: float, seed: str, weight_col: str | None, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, source_size, target, certain, copies, z) of each row, and (c_source, c) of each source."""
+    base = s.put(docs.select("doc_id", "source", word_count().alias("size"), _wish(weight_col).alias("wish"), uniform(F.col("doc_id"), seed).alias("u")))
+    targets = s.put(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), total_share, cap))
+    t = bounded(targets.withColumnRenamed("source", "t_source"))
+    same = F.col("source").eqNullSafe(F.col("t_source"))
+    if weight_col is None:
+        factors = targets.select(F.col("source").alias("c_source"), (F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("c"))
+    else:
+        factors = _factors(base, targets, cap, max_rounds, s)
+    c = bounded(factors)
+    wanted = base.join(t, same, "left").drop("t_source").join(c, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    wanted = wanted.withColumn("want", F.least(F.lit(float(cap)), F.col("c") * F.col("wish"))).withColumn("certain", F.floor("want").cast("long"))
+    ranked = s.put(wanted.withColumn("z", _rank(F.col("want"), F.col("size"), F.col("u"))).drop("u", "wish", "c", "want"))
+    # words still wanted after the certain copies, by source
+    rest = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("target"))
+    full = s.put(rest.select(F.col("source").alias("r_source"), (F.col("target") - F.col("sure")).alias("rest")))
+    rows = ranked.where("z is not null").withColumn("s0", _slice("z", 0)).withColumn("s1", _slice("z", 1))
+    full = s.put(_filled(rows, full, []))
+    full = s.put(_filled(rows, full, ["s0"]))
+    at = bounded(full)
+    joined = ranked.join(at, F.col("source").eqNullSafe(F.col("r_source")), "left").drop("r_source")
+    joined = joined.withColumn("s0", _slice("z", 0)).withColumn("s1", _slice("z", 1))
+    place = F.when(F.col("z").isNull() | F.col("r_s0").isNull(), F.lit(1))
+    place = place.when((F.col("s0") < F.col("r_s0")) | ((F.col("s0") == F.col("r_s0")) & (F.col("s1") < F.col("r_s1"))), F.lit(-1))
+    place = place.when((F.col("s0") == F.col("r_s0")) & (F.col("s1") == F.col("r_s1")), F.lit(0)).otherwise(F.lit(1))
+    placed = joined.withColumn("place", place)
+    inside = placed.where("place = 0")
+    order = Window.partitionBy("source").orderBy("z", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    # the document that crosses the mark is taken if that brings the words nearer to the target
+    inside = inside.withColumn("more", (before + F.col("size") / 2.0 <= F.col("rest")).cast("long"))
+    outside = placed.where("place <> 0").withColumn("more", (F.col("place") == -1).cast("long"))
+    copies = (F.col("certain") + F.col("more")).alias("copies")
+    out = inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", "certain", copies, "z")
+    return out, factors
 
 
 def _filled(rows: DataFrame, at: DataFrame, path: list[str]) -> DataFrame:

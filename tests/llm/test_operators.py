@@ -219,3 +219,13 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and decontam.find(clean, bench).where("contaminated").count() == 0
     mixed = p.mix_sources(spark, docs, FOLDER)
     assert mixed.columns == docs.columns
+
+
+def test_repeat_holds_each_row_as_often_as_the_mix(spark):
+    rows = [(i, " ".join(["w"] * (i % 7)) if i % 11 else None, [None, "a", "b", "c"][i % 4], "x") for i in range(400)] + [(None, "w w", "a", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = mixing.repeat(docs)
+    assert got.columns == docs.columns
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == want
+    assert mixing.repeat(docs.limit(0)).count() == 0

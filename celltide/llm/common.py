@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files when they end: what they wrote or counted is not read from shuffles again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, which cut lineage and survive lost executors.
 
@@ -63,7 +77,8 @@ class Scratch:
 
     def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -84,7 +99,9 @@ class Scratch:
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    with tidy(df.sparkSession):
+        few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df
 
 
 def as_bytes(text: str | Column = "text") -> Column:

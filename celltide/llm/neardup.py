@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark) as s:
         base = s.put(sketch(docs, c))
-        rows = base.select("doc_id", "n", "node")
+        rows = s.put(base.select("doc_id", "n", "node"))
         nodes = s.put(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
+        s.drop(base)
         band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * i * c.rows + 1, 2 * c.rows)) for i in range(c.bands)])).alias("band", "key")
         banded = nodes.select("node", "n", band).select("key", "node", "n")
         full = s.put(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
@@ -284,6 +285,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa
         state = of(met, "node", "own").join(bounded(of(centres, "centre", "main")), "key").withColumn("todo", F.col("own") != F.col("main"))
         open_keys = state.groupBy("key").agg(F.sum("n").alias("mass"), F.sum(F.when(F.col("todo"), F.col("n"))).alias("todo_mass")).where("todo_mass > 0")
         state = s.put(state.join(bounded(open_keys), "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "mass", "todo_mass"))
+        s.drop(met, full)
         few = state.where(F.col("size") <= SMALL_BUCKET)
         x = few.where("todo").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("r_x"))
         pairs = few.join(x, "key").where((F.col("root") != F.col("r_x")) & _close("n", "n_x", c))

@@ -1,8 +1,10 @@
 """License scans: Dice coefficient of word bigrams between normalised text and license templates.
 
-Units of a document are its lines and the whole text. A unit and a template can only reach the least coefficient
-if their numbers of bigrams are close, so units that fit no template by size are dropped before anything is joined;
-and only if they share enough bigrams, so texts without a template's anchor words are not split at all.
+Units of a document are its lines, the whole text, and windows of words in it, which may cross lines. A unit and a
+template can only reach the least coefficient if their numbers of bigrams are close, so units that fit no template by
+size are dropped before anything is joined; and only if they share enough bigrams, so texts without a template's anchor
+words are not split at all, and windows are formed only of texts that hold enough of a template's bigrams somewhere.
+Templates are short notices and, in the folder ``licenses``, full texts.
 All of it is DataFrame expressions; what is broadcast is the templates, whose number is a fixed list.
 """
 
@@ -10,10 +12,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Short notices and headers by which works state their license.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -36,6 +43,12 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Full license texts, which come after the notices in the templates' numbers.
+FULL = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+
+#: Bigrams of a template whose anchors are the words that are in most of them.
+LONG = 100
+
 
 def normal_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
@@ -51,32 +64,88 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def anchors(grams: list[str], least: float, common: Counter = Counter()) -> set[str]:  # noqa: B008
+def anchors(grams: list[str], least: float, common: Counter = Counter(), have: frozenset[str] | set[str] = frozenset()) -> set[str]:  # noqa: B008
     """Words of which a unit must hold one to reach ``least`` with the template of these bigrams.
 
     Such a unit lacks at most t - least * (s + t) / 2 of the template's t bigrams, s being at least the least size
-    that fits; words that are in more bigrams than that can't all be missing. Longer and less ``common`` words are
-    taken first.
+    that fits; words that are in more bigrams than that can't all be missing. Words that others ``have`` already, then
+    longer and less ``common`` words are taken first; of templates of over LONG bigrams those in most bigrams.
     """
     t = len(grams)
     may_lack = int(t - least * (1 + least / (2 - least)) * t / 2 + 1e-9)
-    chosen, met = set(), set()
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-min(len(w), 4), common[w], -len(w), w)):
-        if len(met) > may_lack:
-            break
-        new = {g for g in grams if w in g.split()} - met
-        if new:
-            chosen.add(w)
-            met |= new
+    of: dict[str, set] = {}
+    for g in grams:
+        for w in g.split():
+            of.setdefault(w, set()).add(g)
+    chosen = set(have) & set(of)
+    met = set().union(*[of[w] for w in chosen])
+    rank = lambda w: (-min(len(w), 5), -len(of[w] - met), w) if t > LONG else (-min(len(w), 4), common[w], -len(w), w)
+    while len(met) <= may_lack:
+        w = min((w for w in of if of[w] - met), key=rank)
+        chosen.add(w)
+        met |= of[w]
     return chosen
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def _pairs(words: str) -> Column:
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _windows(held: DataFrame, table: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, row, template, license, dice, begin, end, line, last) of windows of words at ``least`` or more.
+
+    held: (doc_id, row, lines); begin and end are numbers of the text's bigrams, line and last the lines of the ends.
+    A window has at most (2 - least) / least as many bigrams as the template has, repeats included. Neighbours that
+    the template has never lower the coefficient, so windows that begin where a run of the template's bigrams begins
+    are enough; of the windows with one beginning the best is given. A window within that of a template of twice the
+    size or more is left out.
+    """
+    texts = held.dropDuplicates(["doc_id", "row"])
+    at = F.flatten(F.transform("lines", lambda w, i: F.array_repeat(i + 1, F.size(w))))
+    flat = texts.select("doc_id", "row", F.flatten("lines").alias("words"), at.alias("at")).where(F.size("words") > 1)
+    places = flat.select("doc_id", "row", F.posexplode(F.arrays_zip(_pairs("words").alias("gram"), F.expr("slice(at, 1, size(at) - 1)").alias("line"), F.expr("slice(at, 2, size(at) - 1)").alias("last"))).alias("pos", "x"))
+    places = places.select("doc_id", "row", "pos", "x.gram", "x.line", "x.last")
+    enough = F.col("n") * (2 - least) >= F.col("t_size") * least - 1e-9
+    near = places.join(F.broadcast(table), "gram").groupBy("doc_id", "row", "template", "license", "t_size", "t_span").agg(F.size(F.collect_set("gram")).alias("n")).where(enough).drop("n")
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "row", "gram").orderBy("pos"))
+    near = scratch.put(near.withColumnsRenamed({"doc_id": "n_id", "row": "n_row"}))
+    same = F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row") == F.col("n_row"))
+    some = places.join(near.select("n_id", "n_row").distinct(), same, "left_semi").withColumn("before", F.coalesce(before, F.lit(-1)))
+    every = some.join(near, same).drop("n_id", "n_row")
+    marks = table.select(F.col("template").alias("m_template"), F.col("gram").alias("m_gram"), F.lit(True).alias("hit"))
+    every = every.join(F.broadcast(marks), (F.col("template") == F.col("m_template")) & (F.col("gram") == F.col("m_gram")), "left")
+    each = F.struct("pos", "before", F.coalesce("hit", F.lit(False)).alias("hit"), "line", "last")
+    texts = every.groupBy("doc_id", "row", "template", "license", "t_size", "t_span").agg(F.array_sort(F.collect_list(each)).alias("a"))
+    begins = F.expr("filter(sequence(0, size(a) - 1), i -> a[i].hit and not (i > 0 and a[greatest(i - 1, 0)].hit))")
+    starts = texts.withColumn("begin", F.explode(begins)).withColumn("w", F.expr("slice(a, begin + 1, t_span)")).drop("a")
+    starts = starts.withColumn("n", F.size(F.filter("w", lambda x: x["hit"]))).where(enough)
+
+    def step(acc, x):
+        new = x["before"] < F.col("begin")
+        s, n = acc["s"] + new.cast("int"), acc["n"] + (new & x["hit"]).cast("int")
+        dice = 2 * n / (s + F.col("t_size"))
+        better = x["hit"] & (dice > acc["dice"])
+        return F.struct(s.alias("s"), n.alias("n"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["pos"]).otherwise(acc["end"]).alias("end"), F.when(better, x["last"]).otherwise(acc["last"]).alias("last"))
+
+    zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"), F.lit(0).alias("last"))
+    best = starts.withColumn("line", F.col("w")[0]["line"]).withColumn("x", F.aggregate("w", zero, step))
+    best = best.where(F.col("x.dice") >= least).select("doc_id", "row", F.struct("template", "license", "t_size", "x.dice", "begin", "x.end", "line", "x.last").alias("x"))
+    # a window within that of a template at least twice as large is a part of that text
+    part = lambda x, o: (o["t_size"] >= 2 * x["t_size"]) & (o["begin"] <= x["begin"]) & (o["end"] >= x["end"])
+    own = best.groupBy("doc_id", "row").agg(F.collect_list("x").alias("all"))
+    own = own.select("doc_id", "row", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda o: part(x, o)))).alias("x"))
+    return own.select("doc_id", "row", "x.template", "x.license", "x.dice", "x.begin", "x.end", "x.line", "x.last")
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + FULL, least: float = 0.8) -> DataFrame:
     """(doc_id, n_units, license, dice, template, unit, licenses) for each row of ``docs`` (doc_id, text).
 
     n_units counts the units with a template at ``least`` or more; license and dice are of the best match (ties: the
     smaller template number, then the smaller unit), template its number, unit its line's number (0: the whole text
-    of several lines), licenses all names found, sorted. Without a match these are 0, null and an empty array.
+    of several lines; of a window, the line where it begins), licenses all names found, sorted. Overlapping windows
+    count once, and a window doesn't count if it is within a matched line, or if a line that it meets or the whole
+    text is matched with its license. Without a match these are 0, null and an empty array.
     Bigrams are sets; units and templates of fewer than two words match nothing. Null and empty texts match
     nothing. Rows that repeat a doc_id with equal text share a result. Other columns are ignored.
     """
@@ -84,30 +153,49 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     grams = [bigrams(t) for _, t in templates]
     lo, hi = least / (2 - least), (2 - least) / least  # bounds of unit size / template size
     sizes = [len(g) for g in grams if g] or [0]
-    table = spark.createDataFrame([(i, templates[i][0], len(g), x) for i, g in enumerate(grams) for x in g], "template int, license string, t_size int, gram string")
+    spans = [int((len(normal_words(t)) - 1) * hi + 1e-9) for _, t in templates]
+    table = spark.createDataFrame([(i, templates[i][0], len(g), spans[i], x) for i, g in enumerate(grams) for x in g], "template int, license string, t_size int, t_span int, gram string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     # a text without any template's anchors has no unit that reaches the least coefficient
-    body, hold = F.lower("text"), F.lit(False)
+    body, hold, have = F.lower("text"), F.lit(False), set()
     common = Counter(w for g in grams for w in {w for x in g for w in x.split()})
-    for w in sorted(set().union(*[anchors(g, least, common) for g in grams if g]), key=lambda w: (-len(w), w)):
-        hold = hold | (F.contains(body, F.lit(w)) if len(w) > 3 else body.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    for g in sorted(filter(None, grams), key=len):
+        new = sorted(anchors(g, least, common, have) - have, key=lambda w: (-len(w), w))
+        have |= set(new)
+        if new:
+            # a unit has this share of the template's bigrams at least, each of a character and a separator or more
+            long = F.length("text") >= int(2 * lo * len(g))
+            hold = hold | (long & reduce(or_, [F.contains(body, F.lit(w)) if len(w) > 3 else body.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in new]))
     lines = F.transform(F.split("text", "\\r\\n|\\n|\\r"), _words)
-    held = rows.where(hold).select("doc_id", "row", F.explode(F.array(lines)).alias("lines"))
+    with Scratch(spark) as scratch:
+        found = scratch.keep(_found(scratch.put(rows.where(hold).select("doc_id", "row", lines.alias("lines"))), table, sizes, least, scratch))
+    best = F.max_by(F.struct("license", "dice", "template", "unit"), F.struct("dice", -F.col("template"), -F.col("unit"))).alias("x")
+    windows = F.array_sort(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))))
+    apart = F.aggregate(windows, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), lambda acc, x: F.struct((acc["n"] + (x["begin"] > acc["end"]).cast("int")).alias("n"), F.greatest(acc["end"], x["end"]).alias("end")))["n"]
+    n_units = F.count_distinct(F.when(F.col("begin").isNull(), F.col("unit"))) + apart
+    by_doc = found.groupBy(F.col("doc_id").alias("f_id"), F.col("row").alias("f_row")).agg(n_units.alias("n_units"), best, F.array_sort(F.collect_set("license")).alias("licenses"))
+    out = rows.drop("text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row") == F.col("f_row")), "left")
+    none = F.array().cast("array<string>")
+    return out.select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), "x.license", "x.dice", "x.template", "x.unit", F.coalesce("licenses", none).alias("licenses"))
+
+
+def _found(held: DataFrame, table: DataFrame, sizes: list[int], least: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, row, unit, template, license, dice, begin, end) of units at ``least`` or more; begin and end are of windows only."""
+    lo, hi = least / (2 - least), (2 - least) / least
     whole = F.when(F.size("lines") > 1, F.flatten("lines"))
     units = held.select("doc_id", "row", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("unit", "words"))
     # distinct words are at most one more than distinct bigrams
     units = units.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= F.lit(max(sizes) * hi)))
-    rest = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
-    units = units.select("doc_id", "row", "unit", F.array_distinct(pairs).alias("grams")).withColumn("size", F.size("grams"))
+    units = units.select("doc_id", "row", "unit", F.array_distinct(_pairs("words")).alias("grams")).withColumn("size", F.size("grams"))
     units = units.where(F.col("size").between(min(sizes) * lo, max(sizes) * hi))
     shared = units.select("doc_id", "row", "unit", "size", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     shared = shared.where(F.col("size").between(F.col("t_size") * lo, F.col("t_size") * hi))
     # repeated rows share a key: their bigrams come once for each, so the set of them is counted
     found = shared.groupBy("doc_id", "row", "unit", "template", "license", "t_size", "size").agg(F.size(F.collect_set("gram")).alias("n"))
     found = found.withColumn("dice", 2 * F.col("n") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= least)
-    best = F.max_by(F.struct("license", "dice", "template", "unit"), F.struct("dice", -F.col("template"), -F.col("unit"))).alias("x")
-    by_doc = found.groupBy(F.col("doc_id").alias("f_id"), F.col("row").alias("f_row")).agg(F.count_distinct("unit").alias("n_units"), best, F.array_sort(F.collect_set("license")).alias("licenses"))
-    out = rows.drop("text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row") == F.col("f_row")), "left")
-    none = F.array().cast("array<string>")
-    return out.select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), "x.license", "x.dice", "x.template", "x.unit", F.coalesce("licenses", none).alias("licenses"))
+    found = scratch.put(found.select("doc_id", "row", "unit", "template", "license", "dice", F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end")))
+    met = found.groupBy(F.col("doc_id").alias("f_id"), F.col("row").alias("f_row")).agg(F.collect_set(F.struct("unit", "license")).alias("met"))
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row") == F.col("f_row"))
+    told = F.exists("met", lambda u: ((u["unit"] == 0) | u["unit"].between(F.col("line"), F.col("last"))) & ((u["license"] == F.col("license")) | ((u["unit"] > 0) & (F.col("line") == F.col("last")))))
+    more = _windows(held, table, least, scratch).join(met, same, "left").where(~F.coalesce(told, F.lit(False)))
+    return found.unionByName(more.select("doc_id", "row", F.col("line").alias("unit"), "template", "license", "dice", "begin", "end"))

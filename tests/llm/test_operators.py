@@ -1,5 +1,6 @@
 import random
 import sys
+import textwrap
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +27,21 @@ def test_query_equals_sql(spark, name):
     assert plain(queries.queries()[name](spark, FOLDER).toPandas()) == sql_rows(queries.oracle_sql()[name], FOLDER)
 
 
+def test_licenses_in_full_and_wrapped(spark):
+    full = dict(license.FULL)
+    header = textwrap.fill(dict(license.TEMPLATES)["GPL-3.0-or-later"], 60)
+    code = "\n".join(f"int x{i} = f{i}(a{i});" for i in range(30))
+    commented = "\n".join(f" * {x}" for x in header.splitlines())
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A B\n\n" + full["MIT"]), (2, f"/*\n{commented}\n */\n{code}"), (3, f"{code}\n{full['BSD-2-Clause']}\n{code}"),
+        (4, "Some words before. Released under the MIT License. And some more words after it"), (5, code), (None, f"{code}\n{header}\n{code}\n{header}\n{code}"),
+        (7, "a b\nReleased under the MIT License.\nc d"), (8, f"{code}\n{full['Apache-2.0']}\n{code}"),
+    ]
+    got = {r["doc_id"]: (r["n_units"], r["license"]) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == "MIT" and got[2] == (1, "GPL-3.0-or-later") and got[3][1] == "BSD-2-Clause" and got[4] == (1, "MIT")
+    assert got[5] == (0, None) and got[None] == (2, "GPL-3.0-or-later") and got[7] == (1, "MIT") and got[8][1] == "Apache-2.0"
+
+
 def test_odd_rows_keep_their_number(spark, odd):
     n = len(ODD)
     bench = spark.createDataFrame([(1, "ab ab"), (2, None), (3, "")], "item_id long, text string")

@@ -247,31 +247,51 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
     are unchanged. Words of a document shorter than a window can only be hit by items as short.
     """
     small_batches(docs.sparkSession)
-    for a in automata(benchmark, window, max_words):
-        schema = "__clean binary, __drop boolean"
-        shared = docs.sparkSession.sparkContext.broadcast(a)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    rest = [c for c in docs.columns if c != "text"]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    got = docs.select(*rest, as_bytes().alias("__text"), F.array().cast("array<int>").alias("__spans"))
+    parts = automata(benchmark, window, max_words)
+    a = next(parts)
+    while a is not None:
+        # every automaton sees the unchanged text; the last one's pass cuts what all have found
+        following = next(parts, None)
+        last, shared = following is None, docs.sparkSession.sparkContext.broadcast(a)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             auto = shared.value
             code = auto.ids.get
             for b in batches:
-                texts, drops = [], []
-                for t in b.column(b.num_columns - 1):
+                first, second = [], []
+                for t, flat in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist(), strict=True):
                     raw = t.as_py()
                     w = words_of(raw)
                     spans, _ = auto.match(np.fromiter((code(x, 0) for x in w), np.int64, len(w)))
-                    drops.append(bool(spans) and sum(e - s for s, e in spans) > max_coverage * len(w))
-                    texts.append(_cut(raw, w, spans) if spans else raw)
-                rest = [b.column(i) for i in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.binary()), pa.array(drops, pa.bool_())], names=[*b.schema.names[:-1], "__clean", "__drop"])
-
-        rest = [c for c in docs.columns if c != "text"]
-        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-        got = docs.select(*rest, as_bytes().alias("__text")).mapInArrow(run, f"{kinds}{', ' if kinds else ''}{schema}")
-        text = F.col("__clean").cast("string")
-        kept = got.where(~F.col("__drop"))
-        docs = kept.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-    return docs
+                    spans = _united([*zip(flat[::2], flat[1::2], strict=True), *spans]) if flat else spans
+                    if last:
+                        first.append(_cut(raw, w, spans) if spans else raw)
+                        second.append(bool(spans) and sum(e - s for s, e in spans) > max_coverage * len(w))
+                    else:
+                        first.append(raw)
+                        second.append([x for span in spans for x in span])
+                names = [*b.schema.names[:-2], *(("__clean", "__drop") if last else ("__text", "__spans"))]
+                second = pa.array(second, pa.bool_() if last else pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(first, pa.binary()), second], names=names)
+
+        got = got.mapInArrow(run, f"{kinds}{'__clean binary, __drop boolean' if last else '__text binary, __spans array<int>'}")
+        a = following
+    text = F.col("__clean").cast("string")
+    kept = got.where(~F.col("__drop"))
+    return kept.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and out[-1][1] >= b:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
 
 
 def _cut(raw: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:

@@ -124,6 +124,14 @@ def test_several_automata_agree(spark):
     assert plain(one) == plain(many)
 
 
+def test_clean_by_several_automata_agrees(spark):
+    w = [f"w{i}" for i in range(100)]
+    bench = spark.createDataFrame([(k, " ".join(w[b:e])) for k, (b, e) in enumerate([(0, 20), (14, 28), (30, 50), (50, 64), (70, 82)])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(w[:n]), n) for k, n in enumerate((28, 64, 100, 5))] + [(9, " ".join(w[:28] + [f"x{i}" for i in range(60)]), 0)], "doc_id long, text string, n_chars long")
+    one, many = (sorted(map(tuple, decontam.clean(docs, bench, max_words=m).collect())) for m in (10**6, 20))
+    assert one == many and {r[0] for r in one} == {3, 9}
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["▁", "a", "b", "ab", "▁a", "ba", "aba"])
     rng = np.random.default_rng(2)

@@ -128,20 +128,20 @@ def _margin(c: Config) -> float:
 
 
 def sketch(docs: DataFrame, c: Config) -> DataFrame:
-    """(doc_id, n, node, sig): the set's size, a 128-bit digest of the set, and its registers; node is null for an empty set."""
+    """(doc_id, text_hash, n, node, sig): the set's size, a 128-bit digest of the set, and its registers; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, a = _Words(), multipliers(c.registers)
         for b in batches:
             n, node, sig = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = shingle_hashes(t.as_py(), words, c.words)
                 n.append(len(h))
                 node.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sig.append(registers(h, a, c.base, c.top).astype(">u2").tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n", "node", "sig"])
 
-    return docs.select("doc_id", as_bytes()).mapInArrow(run, "doc_id long, n long, node binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), as_bytes()).mapInArrow(run, "doc_id long, text_hash long, n long, node binary, sig binary")
 
 
 def _sets(docs: DataFrame, c: Config) -> DataFrame:
@@ -249,7 +249,7 @@ def _verified(likely: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s:
     return out
 
 
-def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa: B008
+def near_duplicates(docs: DataFrame, c: Config = Config(), by_row: bool = False) -> DataFrame:  # noqa: B008
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents are linked if the distinct ``c.words``-word shingles of their texts (ASCII lower-cased; a shorter
@@ -257,13 +257,15 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa
     smallest doc_id reachable over links and kept says that it is the document's own. Null and empty texts have no
     shingles and no links. Rows that repeat a doc_id are documents of their own, which may all be kept; a row with
     a null doc_id gets the smallest id of its component, null if there is none. An empty input gives an empty result.
+    ``by_row`` adds text_hash (xxhash64 of the text) and root, which is equal just for rows of one component whatever
+    their ids, null for rows without shingles.
     """
     small_batches(docs.sparkSession)
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark) as s:
         base = s.put(sketch(docs, c))
-        rows = s.put(base.select("doc_id", "n", "node"))
+        rows = s.put(base.select("doc_id", "text_hash", "n", "node"))
         nodes = s.put(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
         s.drop(base)
         band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * i * c.rows + 1, 2 * c.rows)) for i in range(c.bands)])).alias("band", "key")
@@ -300,12 +302,12 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:  # noqa
         roots = connected_components(links, s) if not more.isEmpty() else roots
         named = s.put(roots.join(ids, "node"))
         first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(bounded(first), "root").select("node", "component_id")
+        named = named.join(bounded(first), "root").select("node", "component_id", "root")
         # copies that are in no link have their own smallest id
         copied = nodes.where("copies > 1").select("node", F.col("doc_id").alias("least"))
-        known = copied.join(named, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"))
+        known = copied.join(named, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root"))
         known = bounded(s.put(known)).withColumnRenamed("node", "k_node")
         out = rows.join(known, F.col("node") == F.col("k_node"), "left")
         component = F.coalesce("component_id", "doc_id")
-        return s.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")))
+        return s.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *([F.col("text_hash"), F.coalesce("root", "node").alias("root")] if by_row else [])))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celltide.llm import decontam, langid, mixing, neardup, sharding
@@ -24,19 +24,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by 80 % of five-word shingles: that of the smallest doc_id."""
+    """Keep one document of each group linked by 80 % of five-word shingles: that of the smallest doc_id, nulls last.
+
+    Rows are told apart by doc_id and text, so those that merely share a doc_id are documents of their own.
+    """
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     with Scratch(spark) as s:
-        found = neardup.near_duplicates(docs)
-        gone = s.keep(found.where("not kept and component_id is not null and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-        # rows that share the kept doc_id: copies of one text, of which one stays
-        twice = s.keep(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")))
-        left = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+        found = s.put(neardup.near_duplicates(docs, by_row=True).where("root is not null").select("doc_id", "text_hash", "root"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        groups = s.put(found.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select(F.col("root").alias("g_root"), "first"))
+        members = found.join(bounded(groups), F.col("root") == F.col("g_root"))
+        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        gone = s.keep(members.where(~stays).select(*key).distinct())
+        # rows of the document that stays which repeat its text too: of these one stays
+        twice = s.keep(members.where(stays).groupBy("doc_id", "text_hash").count().where("count > 1").select(*key))
+        left = docs.join(bounded(gone), same, "left_anti")
         if twice.isEmpty():
             return left
-        again = left.join(bounded(twice), F.col("doc_id") == F.col("__twice"), "left_semi")
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c).asc_nulls_last() for c in docs.columns])
-        one = again.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        return left.join(bounded(twice), F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(one)
+        again = left.join(bounded(twice), same)
+        one = again.groupBy("__id", "__hash").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+        return left.join(bounded(twice), same, "left_anti").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

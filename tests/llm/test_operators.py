@@ -253,3 +253,14 @@ def test_repeat_holds_each_row_as_often_as_the_mix(spark):
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == want
     assert mixing.repeat(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("f")), (None, text("c"))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    got = p.drop_near_duplicates(spark, docs, FOLDER)
+    want = [(1, text("a")), (2, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("f"))]
+    assert got.columns == docs.columns and sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted(want, key=str)

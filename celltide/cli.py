@@ -1,5 +1,5 @@
-"""Command line over datasets. Errors end with code 1. Merging intersects features unless told otherwise, as
-people at a terminal mostly want; ``dataset.merge`` unites them."""
+"""Command line over datasets. Errors end with code 1. Merging intersects genes unless told otherwise, as
+people at a terminal mostly want; ``dataset.merge`` unites them, and both unite peaks, tiles and proteins."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ def run(a: argparse.Namespace, spark) -> None:
             if a.provenance:
                 print(ds.provenance.show())
         case "merge":
-            dataset.merge([opened(x) for x in a.inputs], a.output, a.batch_key, strategy=a.genes, include_fragments=not a.no_fragments)
+            dataset.merge([opened(x) for x in a.inputs], a.output, a.batch_key, gene_strategy=a.genes, include_fragments=not a.no_fragments)
         case "subset":
             ds = opened(a.input)
             if a.query:

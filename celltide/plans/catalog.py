@@ -68,8 +68,7 @@ def frags(spark, d):
 
 def few(spark, d):
     """Regions of a fixed width; their number is the place of their event among those chosen."""
-    chosen = frags(spark, d).where("cell_idx < 20")
-    return matrix.ordinal(chosen, "event_id", "n").select((F.col("n") + 1).alias("region"), "chrom", "start", (F.col("start") + 7200).alias("end_"))
+    return _numbered(frags(spark, d).where("cell_idx < 20"))
 
 
 @query("select * from cells where cell_type ilike 'build%' and sample_id in (1, 2, 3) and total > 0")
@@ -545,3 +544,48 @@ def stream_import_counts(spark, d):
     from ..streaming.fragments import counts_of
 
     return counts_of(spark, _t(spark, d, "events").schema, f"{d}/events.parquet")
+
+
+def _numbered(chosen):
+    return matrix.ordinal(chosen, "event_id", "n").select((F.col("n") + 1).alias("region"), "chrom", "start", (F.col("start") + 7200).alias("end_"))
+
+
+def every_region(spark, d):
+    """As ``few``, of all events."""
+    return _numbered(frags(spark, d))
+
+
+_EVERY = ", every as (select row_number() over (order by event_id) as region, chrom, start, start + 7200 as end_ from frags) "
+
+
+@query(_EVERY + "select region, f.chrom, f.start, f.end_, f.cell_idx from frags f join every r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
+def frag_regions_join_all(spark, d):
+    return intervals.in_regions(frags(spark, d), every_region(spark, d)).select("region", "chrom", "start", "end_", "cell_idx")
+
+
+@query(_EVERY + "select f.event_id, f.chrom, r.region from frags f join every r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
+def frag_overlap_binned_all(spark, d):
+    return intervals.overlap_join(frags(spark, d), every_region(spark, d), 3600).select("event_id", "chrom", "region")
+
+
+@query(_EVERY + "select region, chrom, greatest(start - 1000, 0) as start, end_ + 500 as end_ from every")
+def extend_regions_all(spark, d):
+    return every_region(spark, d).select("region", "chrom", *R.extended(F.col("start"), F.col("end_"), 1000, 500))
+
+
+@query(_EVERY + "select a.region as a, b.region as b from every a join every b on a.chrom = b.chrom and a.start < b.end_ and a.end_ > b.start and a.region < b.region")
+def regions_overlap_pairs_all(spark, d):
+    a = every_region(spark, d)
+    return intervals.overlap_join(a, a, 7200).where("region < b_region").select(F.col("region").alias("a"), F.col("b_region").alias("b"))
+
+
+@query(_EVERY + "select region, chrom, start, end_ from every")
+def parse_region_all(spark, d):
+    text = F.concat("chrom", F.lit(":"), F.format_number("start", 0), F.lit("-"), F.col("end_").cast("string"))
+    return every_region(spark, d).select("region", text.alias("text")).select("region", *R.region_columns(F.col("text")))
+
+
+@query("select 'a:' || gene_id as key, symbol as value from genes union all select 'b:' || gene_id, symbol from genes")
+def merge_metadata_prefix_all(spark, d):
+    m = genes(spark, d).select(F.col("gene_id").alias("key"), F.col("symbol").alias("value"))
+    return setops.merge_metadata([m, m], ["a", "b"])

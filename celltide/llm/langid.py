@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, uniform
@@ -249,21 +249,23 @@ def fit(counts: dict[str, Counter], pieces: Pieces, rounds: int = 3, smooth: flo
 def train(docs: DataFrame, where: Column | None = None, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from a bounded sample of the labelled rows (text, lang) of ``docs`` that meet ``where``.
 
-    Of each of the ``max_languages`` most frequent labels about ``sample_docs`` documents of at most ``sample_chars``
-    characters are learned from, picked by a hash of the text. Null labels and texts are left out.
+    Of each of the ``max_languages`` most frequent labels at most ``sample_docs`` distinct texts are learned from, those
+    of the smallest hashes, each once and up to ``sample_chars`` characters. Null labels and texts are left out, and
+    texts without letters if there are others.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
         known = known.where(where)
-    known = known.select("text", "lang")
+    known = known.select("lang", F.substring("text", 1, sample_chars).alias("text")).withColumn("h", F.xxhash64("text"))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     counts: dict[str, Counter] = {r["lang"]: Counter() for r in sizes}
     if counts:
-        rate = F.lit(0.0)
-        for r in sizes:
-            rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))).otherwise(rate)
-        sample = known.where(uniform(F.xxhash64("text"), "langid") < rate)
-        for text, lang in sample.toLocalIterator():
+        texts = known.where(F.col("lang").isin(list(counts))).groupBy("lang", "h").agg(F.max(F.col("text").rlike("\\p{L}")).alias("letters"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("letters"), uniform(F.col("h"), "langid"), "h"))
+        # at most sample_docs rows of each of max_languages labels
+        chosen = texts.withColumn("n", place).where(F.col("n") <= sample_docs).select("lang", "h")
+        sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
+        for lang, _, text in sample.toLocalIterator():
             counts[lang].update(w for w in _LETTERS.findall(text.lower()) if _letters(w))
     return fit({k: v for k, v in counts.items() if v}, Pieces.load(vocabulary))
 

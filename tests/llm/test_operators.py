@@ -264,3 +264,10 @@ def test_near_duplicates_go_by_row(spark):
     got = p.drop_near_duplicates(spark, docs, FOLDER)
     want = [(1, text("a")), (2, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("f"))]
     assert got.columns == docs.columns and sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_every_label_is_learned(spark):
+    # copies of one text, and a language of long texts only
+    rows = [("the cat sat on the mat", "en")] * 60 + [(f"der hund und die katze {k}", "de") for k in range(20)] + [("le chat est ici " * 40, "fr")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), sample_docs=1, sample_chars=300)
+    assert model.langs == ["de", "en", "fr"]

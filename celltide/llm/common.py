@@ -104,6 +104,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once for a row: the generator keeps the optimiser from copying them into each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def as_bytes(text: str | Column = "text") -> Column:
     return F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")
 

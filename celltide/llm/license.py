@@ -3,7 +3,7 @@
 Units of a document are its lines, the whole text, and windows of words in it, which may cross lines. A unit and a
 template can only reach the least coefficient if their numbers of bigrams are close, so units that fit no template by
 size are dropped before anything is joined; and only if they share enough bigrams, so texts without a template's anchor
-words are not split at all, and windows are formed only of texts that hold enough of a template's bigrams somewhere.
+words go no further, and windows are formed only of texts that hold enough of a template's bigrams somewhere.
 Templates are short notices and, in the folder ``licenses``, full texts.
 All of it is DataFrame expressions; what is broadcast is the templates, whose number is a fixed list.
 """
@@ -11,15 +11,13 @@ All of it is DataFrame expressions; what is broadcast is the templates, whose nu
 from __future__ import annotations
 
 import re
-from collections import Counter
-from functools import reduce
-from operator import or_
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, settled
 
 #: Short notices and headers by which works state their license.
 TEMPLATES = [
@@ -46,8 +44,10 @@ TEMPLATES = [
 #: Full license texts, which come after the notices in the templates' numbers.
 FULL = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
-#: Bigrams of a template whose anchors are the words that are in most of them.
-LONG = 100
+#: Words that texts of all kinds hold, which are the last to be chosen as anchors, as are single letters and digits.
+COMMON = frozenset("about after all also an and any are as at be been but by can do each first for from had has have he her his if in into is it its made make many may more most must no not of on one only or other our out over shall she should so some such than that the their them then there these they this those time to two under up use was we were what when where which who will with would you your".split())
+#: Bigrams of a template for each further anchor word that a text must hold, and such words at most.
+SHORT, MOST = 30, 7
 
 
 def normal_words(text: str) -> list[str]:
@@ -64,27 +64,30 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def anchors(grams: list[str], least: float, common: Counter = Counter(), have: frozenset[str] | set[str] = frozenset()) -> set[str]:  # noqa: B008
-    """Words of which a unit must hold one to reach ``least`` with the template of these bigrams.
+def anchors(grams: list[str], least: float) -> tuple[list[str], int]:
+    """Words of the template of these bigrams, and how many of them a unit must hold to reach ``least`` with it.
 
-    Such a unit lacks at most t - least * (s + t) / 2 of the template's t bigrams, s being at least the least size
-    that fits; words that are in more bigrams than that can't all be missing. Words that others ``have`` already, then
-    longer and less ``common`` words are taken first; of templates of over LONG bigrams those in most bigrams.
+    Such a unit has least / (2 - least) of the template's bigrams or more, as it has no fewer of its own. Each bigram is
+    counted for one chosen word only, so a unit without k of the words lacks at least the sum of the k smallest counts.
+    Common words come last; of others those in most bigrams come first. Longer templates have more words chosen.
     """
     t = len(grams)
-    may_lack = int(t - least * (1 + least / (2 - least)) * t / 2 + 1e-9)
+    may_lack = int(t - least / (2 - least) * t + 1e-9)
     of: dict[str, set] = {}
     for g in grams:
         for w in g.split():
             of.setdefault(w, set()).add(g)
-    chosen = set(have) & set(of)
-    met = set().union(*[of[w] for w in chosen])
-    rank = lambda w: (-min(len(w), 5), -len(of[w] - met), w) if t > LONG else (-min(len(w), 4), common[w], -len(w), w)
-    while len(met) <= may_lack:
-        w = min((w for w in of if of[w] - met), key=rank)
-        chosen.add(w)
-        met |= of[w]
-    return chosen
+    chosen, counts, met, need = [], [], set(), 0
+    for w in sorted(of, key=lambda w: (w in COMMON or len(w) < 2, -len(of[w]), -len(w), w)):
+        if need > min(1 + t // SHORT, MOST):
+            break
+        if of[w] - met:
+            chosen.append(w)
+            counts.append(len(of[w] - met))
+            met |= of[w]
+            absent = sum(x <= may_lack for x in accumulate(sorted(counts)))
+            need = len(chosen) - absent
+    return chosen, need
 
 
 def _pairs(words: str) -> Column:
@@ -103,7 +106,7 @@ def _windows(held: DataFrame, table: DataFrame, least: float, scratch: Scratch)
     """
     texts = held.dropDuplicates(["doc_id", "row"])
     at = F.flatten(F.transform("lines", lambda w, i: F.array_repeat(i + 1, F.size(w))))
-    flat = texts.select("doc_id", "row", F.flatten("lines").alias("words"), at.alias("at")).where(F.size("words") > 1)
+    flat = settled(texts, words=F.flatten("lines"), at=at).where(F.size("words") > 1)
     places = flat.select("doc_id", "row", F.posexplode(F.arrays_zip(_pairs("words").alias("gram"), F.expr("slice(at, 1, size(at) - 1)").alias("line"), F.expr("slice(at, 2, size(at) - 1)").alias("last"))).alias("pos", "x"))
     places = places.select("doc_id", "row", "pos", "x.gram", "x.line", "x.last")
     enough = F.col("n") * (2 - least) >= F.col("t_size") * least - 1e-9
@@ -156,16 +159,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + FULL, l
     spans = [int((len(normal_words(t)) - 1) * hi + 1e-9) for _, t in templates]
     table = spark.createDataFrame([(i, templates[i][0], len(g), spans[i], x) for i, g in enumerate(grams) for x in g], "template int, license string, t_size int, t_span int, gram string")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    # a text without any template's anchors has no unit that reaches the least coefficient
-    body, hold, have = F.lower("text"), F.lit(False), set()
-    common = Counter(w for g in grams for w in {w for x in g for w in x.split()})
-    for g in sorted(filter(None, grams), key=len):
-        new = sorted(anchors(g, least, common, have) - have, key=lambda w: (-len(w), w))
-        have |= set(new)
-        if new:
+    # a text without enough anchor words of any template has no unit that reaches the least coefficient
+    kinds = [(len(g), *anchors(g, least)) for g in grams if g]
+    every = sorted({w for _, words, _ in kinds for w in words})
+    words = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*map(F.lit, every)))
+
+    def enough(hit: Column) -> Column:
+        out = F.lit(False)
+        for t, chosen, need in kinds:
             # a unit has this share of the template's bigrams at least, each of a character and a separator or more
-            long = F.length("text") >= int(2 * lo * len(g))
-            hold = hold | (long & reduce(or_, [F.contains(body, F.lit(w)) if len(w) > 3 else body.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in new]))
+            out = out | ((F.length("text") >= int(2 * lo * t)) & (F.size(F.array_intersect(hit, F.array(*map(F.lit, chosen)))) >= need))
+        return (F.size(hit) > 0) & out
+
+    # bound to a lambda's variable, the words of a text are found once and not for each template
+    hold = F.exists(F.array(words), enough)
     lines = F.transform(F.split("text", "\\r\\n|\\n|\\r"), _words)
     with Scratch(spark) as scratch:
         found = scratch.keep(_found(scratch.put(rows.where(hold).select("doc_id", "row", lines.alias("lines"))), table, sizes, least, scratch))
@@ -186,7 +193,7 @@ def _found(held: DataFrame, table: DataFrame, sizes: list[int], least: float, sc
     units = held.select("doc_id", "row", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("unit", "words"))
     # distinct words are at most one more than distinct bigrams
     units = units.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) - 1 <= F.lit(max(sizes) * hi)))
-    units = units.select("doc_id", "row", "unit", F.array_distinct(_pairs("words")).alias("grams")).withColumn("size", F.size("grams"))
+    units = settled(units, grams=F.array_distinct(_pairs("words"))).withColumn("size", F.size("grams"))
     units = units.where(F.col("size").between(min(sizes) * lo, max(sizes) * hi))
     shared = units.select("doc_id", "row", "unit", "size", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     shared = shared.where(F.col("size").between(F.col("t_size") * lo, F.col("t_size") * hi))

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their values, up to which a side of a join is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 #: Rows of text that one Arrow batch hands to a Python worker.
 BATCH_ROWS = 256
 
@@ -26,20 +29,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the rows of an Arrow batch, as whole texts can be long.
+
+    The results are lazy, so the session's setting stays; one that is as low already is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its own;
+    on a cluster, where executors don't see each other's folders, RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="celltide-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="celltide-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Lists that gather the paths of kept tables, of blocks of ``gathered`` that are open.
+_gathering: list[list[str]] = []
+
+
+@contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The paths of tables that operators keep inside the block, for a caller that has written their results elsewhere."""
+    paths: list[str] = []
+    _gathering.append(paths)
+    try:
+        yield paths
+    finally:
+        _gathering.remove(paths)
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Actions inside remove their shuffle files when they end: what they wrote or counted is not read from shuffles again."""
@@ -69,11 +99,7 @@ class Scratch:
 
     def __exit__(self, *exc) -> None:
         for path in self.paths:
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
 
     def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -87,21 +113,34 @@ class Scratch:
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return self._write(df)[0]
+        out, path = self._write(df)
+        for paths in _gathering:
+            paths.append(path)
+        return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of ``put`` that are no longer needed."""
         for df in frames:
             for path in [p for p in self.paths if any(p in f for f in df.inputFiles()[:1])]:
                 self.paths.remove(path)
-                self._delete(path)
+                delete(self.spark, path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked, so that the join shuffles."""
+def _width(kind: T.DataType, value: Column) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(value), F.lit(0)) * 16 + 16
+    return F.lit(16 * len(kind) if isinstance(kind, T.StructType) else 8)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and about ``size`` bytes, else unmarked, so that the join shuffles."""
     with tidy(df.sparkSession):
-        few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+        width = reduce(add, [_width(f.dataType, df[f"`{f.name}`"]) for f in df.schema])
+        n, total = df.select(width.cast("long").alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -109,6 +148,11 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct, beside which new columns can have any name."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
 def as_bytes(text: str | Column = "text") -> Column:
     return F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")
 

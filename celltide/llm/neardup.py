@@ -33,8 +33,8 @@ from .components import connected_components
 WORD_CACHE = 400_000
 #: Members up to which a bucket's remaining pairs are formed by a join; a larger one is compared in tiles.
 SMALL_BUCKET = 24
-#: Shingles on a side of a tile, about.
-TILE = 1_000_000
+#: Shingles on a side of a tile, about; and as how many a row counts besides its own, so that rows are bounded too.
+TILE, ROW = 1_000_000, 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,8 +188,8 @@ def _tiles(members: DataFrame, c: Config) -> DataFrame:
     """Links (a, b) in large buckets, of a member to do (todo) to one of another component.
 
     members: (key, node, n, sig, hashes, root, todo, mass, todo_mass), the masses being the shingles of the bucket's
-    members and of those to do. Both sides are dealt into parts of about TILE shingles, and a task compares a part
-    with a part: neither a bucket nor its pairs are ever in one place. Pairs that the registers don't rule out are
+    members and of those to do, and ROW for each member. Both sides are dealt into parts of about TILE of that mass,
+    so of TILE / ROW rows or fewer, and a task compares a part with a part: neither a bucket nor its pairs are ever in one place. Pairs that the registers don't rule out are
     verified on their sets at once; of the links of one member to one component the first is enough.
     """
     parts = lambda n: F.greatest(F.ceil(F.col(n) / TILE), F.lit(1)).cast("int")
@@ -274,19 +274,20 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), by_row: bool = False)
         full = s.put(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
         met = s.put(banded.join(bounded(full), "key"))
         # the most central member of each bucket, and each other member's pair with it
-        central = met.groupBy("node").agg(F.sum("size").alias("meets"))
-        centres = met.join(bounded(central), "node").groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("x")).select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n_c"))
+        central = s.put(met.groupBy("node").agg(F.sum("size").alias("meets")))
+        centres = met.join(bounded(central), "node").groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("x"))
+        centres = s.put(centres.select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n_c")))
         stars = met.join(bounded(centres), "key").where((F.col("node") != F.col("centre")) & _close("n", "n_c", c))
         stars = s.put(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        sigs = s.put(nodes.join(bounded(met.select("node").distinct()), "node", "left_semi").select("node", "n", "sig"))
+        sigs = s.put(nodes.join(bounded(central.select("node")), "node", "left_semi").select("node", "n", "sig"))
         ids = nodes.select("node", "doc_id")
         links = _verified(s.put(_likely(_with_sigs(stars, sigs), c)), docs, ids, c, s)
         roots = s.put(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), s))
         # members of a bucket that are not in its centre's component
         r = roots.select(F.col("node").alias("r_node"), "root")
         of = lambda df, node, name: df.join(bounded(r), F.col(node) == F.col("r_node"), "left").withColumn(name, F.coalesce("root", node)).drop("r_node", "root")
-        state = of(met, "node", "own").join(bounded(of(centres, "centre", "main")), "key").withColumn("todo", F.col("own") != F.col("main"))
-        open_keys = state.groupBy("key").agg(F.sum("n").alias("mass"), F.sum(F.when(F.col("todo"), F.col("n"))).alias("todo_mass")).where("todo_mass > 0")
+        state = of(met, "node", "own").join(bounded(s.put(of(centres, "centre", "main"))), "key").withColumn("todo", F.col("own") != F.col("main"))
+        open_keys = s.put(state.groupBy("key").agg(F.sum(F.col("n") + ROW).alias("mass"), F.sum(F.when(F.col("todo"), F.col("n") + ROW)).alias("todo_mass")).where("todo_mass > 0"))
         state = s.put(state.join(bounded(open_keys), "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "mass", "todo_mass"))
         s.drop(met, full)
         few = state.where(F.col("size") <= SMALL_BUCKET)
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), by_row: bool = False)
         links = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = connected_components(links, s) if not more.isEmpty() else roots
         named = s.put(roots.join(ids, "node"))
-        first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        first = s.put(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
         named = named.join(bounded(first), "root").select("node", "component_id", "root")
         # copies that are in no link have their own smallest id
         copied = nodes.where("copies > 1").select("node", F.col("doc_id").alias("least"))

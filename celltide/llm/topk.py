@@ -2,7 +2,7 @@
 
 Queries and all vectors are dealt by a hash of their ids into blocks of bounded size, packed as matrices. A tile is
 a block of queries times a block of vectors; each gives its queries' best k. Lists of a query are then merged
-FAN_IN at a time until one is left. Only packed blocks and short lists are ever moved; nothing is broadcast.
+FAN_IN at a time until one is left. Only packed blocks and short lists are ever moved, by shuffles; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded
 
 #: Vectors of a block, about, on the side of the queries and of all vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 #: Lists of a query that one merge takes.
 FAN_IN = 16
+#: Different lengths of vectors, at most.
+MAX_LENGTHS = 100
 
 
 def quantised(vector: str | Column, scale: float = 64.0) -> Column:
@@ -73,24 +75,34 @@ def product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all other rows.
 
-    vectors: (vec_id long, v array<long>), of one length; rows with a null id or vector take no part, and other
-    columns are ignored. Ties go to the smaller vec_id; a query with fewer than k others gets all. Rows that repeat
-    a vec_id are candidates each, but never of a query of that id. Vectors of another length than the most frequent
-    raise ValueError. An empty input gives an empty result.
+    vectors: (vec_id long, v array<long>); rows with a null id or a null or empty vector take no part, and other
+    columns are ignored. A query meets the vectors of its own length only, as there is no product with others; more
+    than MAX_LENGTHS lengths raise ValueError. Ties go to the smaller vec_id; a query with fewer than k others gets
+    all. Rows that repeat a vec_id are candidates each, but never of a query of that id; query rows that do are one
+    query, whose results are the best of all its vectors. An empty input gives an empty result.
     """
     spark = vectors.sparkSession
     with Scratch(spark) as s:
-        rows = s.put(vectors.withColumn("q", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), "v", "q").where("id is not null and v is not null"))
-        n, n_q, widths = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)), F.countDistinct(F.size("v"))).first()
-        if widths > 1:
-            raise ValueError("vectors differ in length")
-        # repeated ids are dealt apart by their vector
-        part = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
-        n_vb, n_qb = int(n // vector_block) + 1, int(n_q // query_block) + 1
-        shards = s.put(_packed(rows.withColumn("vb", part(n_vb)), "vb", ("ids", "m")))
-        queries = s.put(_packed(rows.where("q").dropDuplicates(["id", "v"]).withColumn("qb", part(n_qb)), "qb", ("q_ids", "q_m")))
-        # every block of queries meets every block of vectors: n_qb * n_vb rows
-        tiles = shards.join(queries.withColumn("t_vb", F.explode(F.sequence(F.lit(0), F.lit(n_vb - 1)))), F.col("vb") == F.col("t_vb"))
+        rows = s.put(vectors.withColumn("q", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), "v", "q").where("id is not null and size(v) > 0").withColumn("w", F.size("v")))
+        lengths = rows.groupBy("w").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("n_q")).limit(MAX_LENGTHS + 1).collect()
+        if len(lengths) > MAX_LENGTHS:
+            raise ValueError(f"vectors have more than {MAX_LENGTHS} lengths")
+        # blocks are numbered over all lengths: a length's first block and how many it has, for vectors and queries
+        first, n_vb, n_qb = {}, 0, 0
+        for r in sorted(lengths):
+            first[r["w"]] = (n_vb, int(r["n"] // vector_block) + 1, n_qb, int(r["n_q"] // query_block) + 1)
+            n_vb, n_qb = n_vb + first[r["w"]][1], n_qb + first[r["w"]][3]
+        at = lambda i: F.element_at(F.create_map(*[F.lit(x) for w, of in first.items() for x in (w, of[i])]), F.col("w"))
+        part = lambda i, *more: (at(i) + F.pmod(F.xxhash64("id", "v", *more), at(i + 1))).cast("int")
+        if not first:
+            return s.keep(spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"))
+        # rows that repeat an id and a vector are dealt apart by where they were read
+        shards = s.put(_packed(rows.withColumn("vb", part(0, F.spark_partition_id())), "vb", ("ids", "m")))
+        queries = _packed(rows.where("q").dropDuplicates(["id", "v"]).withColumn("qb", part(2)), "qb", ("q_ids", "q_m"))
+        # every block of queries meets every block of vectors of its length; both sides are shuffled, as both grow
+        of_query = spark.createDataFrame([(qb, a, a + n - 1) for a, n, b, m in first.values() for qb in range(b, b + m)], "of_qb int, lo int, hi int")
+        queries = s.put(queries.join(bounded(of_query), F.col("qb") == F.col("of_qb")).select("q_ids", "q_m", "lo", "hi"))
+        tiles = shards.join(queries.withColumn("t_vb", F.explode(F.sequence("lo", "hi"))).hint("merge"), F.col("vb") == F.col("t_vb"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -13,12 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
 
-from .common import WORDS, as_bytes, small_batches
+from .common import WORDS, Scratch, as_bytes, bounded, settled, small_batches, whole
 
 #: Words of a normalised text: runs of ASCII letters, digits and non-ASCII characters.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -165,123 +164,159 @@ class Automaton:
         return spans, items
 
 
-def automata(benchmark: DataFrame, window: int, max_words: int = MAX_WORDS) -> Iterator[Automaton]:
-    """One automaton after the other, each of a part of the items whose words are counted before they are fetched."""
+def automata(benchmark: DataFrame, window: int, max_words: int = MAX_WORDS) -> tuple[int, Iterator[Automaton]]:
+    """How many automata there are, and one after the other, each of a part of the items whose words are counted before they are fetched."""
     items = benchmark.select(F.col("item_id"), as_bytes().alias("text"), F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD)), F.lit(0)).alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
     parts = int(total // max_words) + 1
-    for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Automaton.build([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.select("item_id", "text").toLocalIterator()], window)
 
+    def each() -> Iterator[Automaton]:
+        for k in range(parts):
+            part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+            yield Automaton.build([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.select("item_id", "text").toLocalIterator()], window)
 
-def _matched(docs: DataFrame, a: Automaton, passed: list[str], text_at: int, more, schema: str) -> DataFrame:
-    """mapInArrow over ``passed`` columns; ``more(words, spans, items)`` gives the further columns of a row."""
+    return parts, each()
+
+
+def _spans(docs: DataFrame, a: Automaton, ids: bool) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, row, spans, items) of the rows of ``docs`` (doc_id, row, text) with a hit, and what was broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(a)
-    fields = _parse_datatype_string(schema).fields
-    names = [f.name for f in fields]
-    types = [to_arrow_type(f.dataType) for f in fields[len(passed) - 1 :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        code = auto.ids.get
+        match = _matcher(shared.value)
         for b in batches:
-            rows = []
-            for t in b.column(text_at):
-                w = words_of(t.as_py())
-                codes = np.fromiter((code(x, 0) for x in w), np.int64, len(w))
-                rows.append(more(w, *auto.match(codes)))
-            rest = [b.column(i) for i in range(b.num_columns) if i != text_at]
-            yield pa.RecordBatch.from_arrays([*rest, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=names)
+            found = [match(t.as_py()) for t in b.column(2)]
+            hit = [i for i, x in enumerate(found) if x[1]]
+            flat = pa.array([[x for span in found[i][1] for x in span] for i in hit], pa.list_(pa.int32()))
+            items = pa.array([_named(found[i][2]) if ids else [] for i in hit], pa.list_(pa.string()))
+            at = pa.array(hit, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), flat, items], ["doc_id", "row", "spans", "items"])
 
-    return docs.select(*[as_bytes(c).alias(c) if i == text_at else F.col(c) for i, c in enumerate(passed)]).mapInArrow(run, schema)
+    return docs.select("doc_id", "row", as_bytes().alias("text")).mapInArrow(run, "doc_id long, row long, spans array<int>, items array<string>"), shared
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for each row of ``docs`` (doc_id, text).
+def _matcher(a: Automaton):
+    """text -> (its words, hit spans, items)."""
+    code = a.ids.get
 
-    spans are the hit stretches as arrays [begin, end) of word numbers. A window is ``window`` consecutive words of
-    an item (item_id, text), or all words of a shorter one; equal items and equal windows all count. Null and empty
-    texts have no words; items without words, or an empty benchmark, hit nothing. Other columns are ignored.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-
-    def digest(items) -> str:
-        return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-    def more(w, spans, items):
-        hit = sum(e - b for b, e in spans)
-        return len(w), hit, len(items), digest(items), hit > 0, [list(x) for x in spans]
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
-    parts = list(automata(benchmark, window, max_words))
-    if len(parts) == 1:
-        return _matched(docs, parts[0], ["doc_id", "text"], 1, more, schema)
-    # several automata: spans and items of each, then their union by row
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    part_schema = "doc_id long, row long, n_words long, spans array<array<int>>, items array<string>"
+    def match(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int]], set]:
+        w = words_of(text)
+        return w, *a.match(np.fromiter((code(x, 0) for x in w), np.int64, len(w)))
+
+    return match
+
+
+def _named(items: set) -> list[str]:
+    """Item ids as sorted texts; an item without an id hits words but isn't told."""
+    return sorted(str(i) for i in items if i is not None)
+
+
+def _in_parts(docs: DataFrame, parts: Iterator[Automaton], s: Scratch, ids: bool) -> DataFrame:
+    """(h_id, h_row, spans, items) of rows with a hit, of all automata: one is held at a time, and its pass is written
+    before the next one is built. Rows that repeat are one."""
     found = None
     for a in parts:
-        x = _matched(docs.select("doc_id", "row", "text"), a, ["doc_id", "row", "text"], 2, lambda w, spans, items: (len(w), [list(x) for x in spans], [str(i) for i in items]), part_schema)
+        x, shared = _spans(docs, a, ids)
+        x = s.put(x)
+        shared.destroy()
         found = x if found is None else found.union(x)
-    copies = docs.groupBy("doc_id", "row").count()
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    every = found.groupBy(F.col("doc_id").alias("h_id"), F.col("row").alias("h_row")).agg(F.flatten(F.collect_set("spans")).alias("spans"), flat("items").alias("items"))
+    return s.put(every)
+
 
-    def united(spans):
-        order = F.array_sort(F.flatten(spans))
-        step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x)))
-        return F.aggregate(order, F.array().cast("array<array<int>>"), step)
+def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    return docs.join(bounded(hits), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row")), "left").drop("h_id", "h_row")
 
-    g = found.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), united(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    g = g.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0]))
-    g = g.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
-    g = g.join(copies.select(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row"), "count"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")))
-    return g.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count")))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for each row of ``docs`` (doc_id, text).
+
+    spans are the hit stretches as arrays [begin, end) of word numbers. A window is ``window`` consecutive words of
+    an item (item_id, text), or all words of a shorter one; equal items and equal windows all count. Items without an
+    id hit words but aren't among the items. Null and empty texts have no words; items without words, or an empty
+    benchmark, hit nothing. Rows that repeat have a result each. Other columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    n, parts = automata(benchmark, window, max_words)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(parts))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = _matcher(shared.value)
+            for b in batches:
+                out = []
+                for t in b.column(1):
+                    w, spans, items = match(t.as_py())
+                    hit, told = sum(e - b for b, e in spans), _named(items)
+                    out.append((len(w), hit, len(told), hashlib.sha256(",".join(told).encode()).hexdigest(), hit > 0, [list(x) for x in spans]))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names)
+
+        return docs.select("doc_id", as_bytes()).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>")
+    with Scratch(docs.sparkSession) as s:
+        hits = s.keep(_in_parts(docs, parts, s, True))
+    # the words of a text, counted as the automata see them
+    n_words = F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    out = _joined(docs.select("doc_id", "row", n_words.alias("n_words")), hits)
+    out = settled(out, pairs=F.coalesce(_united_column(F.col("spans")), F.array().cast("array<array<int>>")), told=F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = F.aggregate("pairs", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("told").cast("long").alias("n_items"), F.sha2(F.array_join("told", ","), 256).alias("items_sha256"), (F.size("pairs") > 0).alias("contaminated"), F.col("pairs").alias("spans"))
+
+
+def _united_column(flat: Column) -> Column:
+    """Spans [begin, end, begin, end, ...] as sorted pairs, those that touch made one."""
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), lambda i: F.array(F.get(flat, 2 * i), F.get(flat, 2 * i + 1)))
+    last = lambda acc: F.element_at(acc, -1)
+    more = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], x[1]))))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), F.lit(1)) >= x[0]), more(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    return F.when(F.size(flat) > 0, F.aggregate(F.array_sort(pairs), F.array().cast("array<array<int>>"), step))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``, without the documents of which they cover over ``max_coverage``.
 
-    All columns stay, n_chars (if there) is the new text's length. A span is cut from its first word's first byte
+    All columns stay; n_chars, if there, becomes the length of a text that was cut. A span is cut from its first word's first byte
     to its last word's last byte, so what stands around it stays. Documents without a hit, null and empty texts
-    are unchanged. Words of a document shorter than a window can only be hit by items as short.
+    are unchanged. Words of a document shorter than a window can only be hit by items as short. Columns may have any
+    names besides doc_id and text, rows may repeat, and an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    got = docs.select(*rest, as_bytes().alias("__text"), F.array().cast("array<int>").alias("__spans"))
-    parts = automata(benchmark, window, max_words)
-    a = next(parts)
-    while a is not None:
-        # every automaton sees the unchanged text; the last one's pass cuts what all have found
-        following = next(parts, None)
-        last, shared = following is None, docs.sparkSession.sparkContext.broadcast(a)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
-            code = auto.ids.get
-            for b in batches:
-                first, second = [], []
-                for t, flat in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                    raw = t.as_py()
-                    w = words_of(raw)
-                    spans, _ = auto.match(np.fromiter((code(x, 0) for x in w), np.int64, len(w)))
-                    spans = _united([*zip(flat[::2], flat[1::2], strict=True), *spans]) if flat else spans
-                    if last:
-                        first.append(_cut(raw, w, spans) if spans else raw)
-                        second.append(bool(spans) and sum(e - s for s, e in spans) > max_coverage * len(w))
-                    else:
-                        first.append(raw)
-                        second.append([x for span in spans for x in span])
-                names = [*b.schema.names[:-2], *(("__clean", "__drop") if last else ("__text", "__spans"))]
-                second = pa.array(second, pa.bool_() if last else pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(first, pa.binary()), second], names=names)
-
-        got = got.mapInArrow(run, f"{kinds}{'__clean binary, __drop boolean' if last else '__text binary, __spans array<int>'}")
-        a = following
-    text = F.col("__clean").cast("string")
-    kept = got.where(~F.col("__drop"))
-    return kept.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    names = docs.columns
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"), whole(docs).alias("doc"))
+    n, parts = automata(benchmark, window, max_words)
+    if n == 1:
+        shared, spans = docs.sparkSession.sparkContext.broadcast(next(parts)), F.lit(None).cast("array<int>")
+    else:
+        shared = None
+        with Scratch(docs.sparkSession) as s:
+            hits = s.keep(_in_parts(rows.select("doc_id", "row", "text"), parts, s, False))
+        rows, spans = _joined(rows, hits), F.col("spans")
+
+    @F.arrow_udf("struct<text: binary, gone: boolean>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        match = _matcher(shared.value) if shared is not None else None
+        for texts, known in batches:
+            out = []
+            for t, flat in zip(texts, known.to_pylist(), strict=True):
+                raw = t.as_py()
+                if match is not None:
+                    w, found, _ = match(raw)
+                else:
+                    w, found = (words_of(raw), _united(list(zip(flat[::2], flat[1::2], strict=True)))) if flat else ([], [])
+                # null says that the text stays as it is
+                gone = bool(found) and sum(e - b for b, e in found) > max_coverage * len(w)
+                out.append({"text": _cut(raw, w, found) if found and not gone else None, "gone": gone})
+            yield pa.array(out, pa.struct([("text", pa.binary()), ("gone", pa.bool_())]))
+
+    # said to be nondeterministic, so that a filter on the result doesn't evaluate it twice
+    done = rows.select("doc", cut.asNondeterministic()(as_bytes(), spans).alias("x")).where(~F.col("x.gone"))
+    text = F.coalesce(F.col("x.text").cast("string"), F.col("doc.text"))
+    field = lambda c: F.col("doc").getField(c)
+    put = {"text": text, "n_chars": F.when(F.col("x.text").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars")) if "n_chars" in names else None}
+    return done.select(*[put.get(c, field(c) if c not in put else None).alias(c) for c in names])
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -15,10 +15,12 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How often the mix holds each document: sources at 5, 2 and 1, longer documents repeated sooner than short ones."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weight_col=mixing.longer_first()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled four fifths by crc32 of the doc_id; the rest is held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     model = langid.train(docs, ~held_out)
@@ -26,51 +28,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document under a model of the labels' grades, learned from a bounded sample of labelled rows."""
     docs = table(spark, sf_dir, "documents")
-    # the sample is picked from labelled rows only, so that texts without a label are not moved
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("grade"))
-    sizes = {r["grade"]: r["count"] for r in labels.groupBy("grade").count().limit(toxicity.MAX_GRADES + 1).collect()}
-    rate = F.lit(0.0)
-    for g, n in sizes.items():
-        rate = F.when(F.col("grade") == g, F.lit(min(1.0, 1.2 * toxicity.SAMPLE_ROWS / n))).otherwise(rate)
-    # at most about 1.2 * SAMPLE_ROWS rows of each of MAX_GRADES grades: a side of known size
-    chosen = F.broadcast(labels.where(toxicity.uniform(F.col("doc_id"), "labels") < rate))
-    model = toxicity.train(docs.join(chosen, "doc_id"), regrade=toxicity.graded)
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id", F.col("toxic").alias("grade"))
+    # at most SAMPLE_ROWS labels of each of MAX_GRADES grades are picked first, so that texts without one aren't moved
+    chosen = F.broadcast(toxicity.smallest(labels, F.col("doc_id")))
+    model = toxicity.train(docs.join(chosen, "doc_id"))
     return toxicity.severity(docs, model)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; blocks reach the aliases that pages declare."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document, and after three edits: a new beginning, a cut and a changed middle, and an end."""
-    docs = table(spark, sf_dir, "documents")
+    """Token counts of every document, and after two rounds of edits to the trees that are kept: first a new beginning
+    and a changed middle, then an end."""
     edit = lambda at, remove, put: F.struct(at.cast("int").alias("at"), F.lit(remove).alias("remove"), F.lit(put).alias("put"))
     n = F.length("text")
-    edits = F.array(edit(F.lit(0), 0, "Draft: "), edit(F.floor(n / 2), 12, " [edited] "), edit(n + 1000, 0, "\nEnd."))
-    counted = tokencount.edited_counts(docs.select("doc_id", "text", F.when(F.col("text").isNotNull(), edits).alias("edits")))
-    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_reencoded")
+    first = tokencount.token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("n_tokens", "n_first")
+    edits = F.array(edit(F.lit(0), 0, "Draft: "), edit(F.floor(n / 2), 12, " [edited] "))
+    once = tokencount.edited_counts(first.withColumn("edits", edits), passed=["n_first"]).withColumnRenamed("n_reencoded", "n_once")
+    twice = tokencount.edited_counts(once.withColumn("edits", F.array(edit(n, 0, "\nEnd."))), passed=["n_first", "n_once"])
+    return twice.select("doc_id", F.col("n_first").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), (F.col("n_once") + F.col("n_reencoded")).alias("n_reencoded"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document, linked by 85 % of three-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Config(words=3, percent=85))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and the shard of every document."""
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.select("vec_id", topk.quantised("embedding").alias("v")), F.col("vec_id") % 20 == 0)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are within windows of benchmark items, and which items those are."""
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document holds, and the best match."""
     found = license.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_units", "license", F.round("dice", 6).alias("dice"), F.array_join("licenses", ",").alias("licenses"))
 
@@ -80,10 +86,12 @@ def queries() -> dict:
 
 
 _MIX = r"""
-with d as (
+with t as (
   select doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) as size,
-    ((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint) + 0.5::double) / 4503599627370496.0::double as u
+    ((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || coalesce(md5(text), 'null')), 1, 13))::bigint) + 0.5::double) / 4503599627370496.0::double as u
   from documents
+), d as (
+  select *, 1000 * (least(size // 200, 3) + 1) as wish from t
 ), s as (
   select source, sum(size)::double as source_size from d group by source
 ), w as (
@@ -95,23 +103,33 @@ with d as (
   from f window before as (order by fill, source is null, source rows between unbounded preceding and 1 preceding)
 ), lv as (
   select level from l where level < fill order by fill, source is null, source limit 1
-), t as (
+), g as (
   select source, source_size, coalesce(least(2.0::double * source_size, w * (select level from lv)), 2.0::double * source_size) as target from l
+), n as (
+  select source, wish, sum(size) as words from d group by all
+), a as (
+  select n.*, g.source_size, g.target, coalesce(sum(words) over (partition by n.source order by wish desc rows between unbounded preceding and 1 preceding), 0)::double as fixed,
+    (sum(words * wish) over (partition by n.source order by wish rows unbounded preceding))::double as free
+  from n join g on n.source is not distinct from g.source
+), b as (
+  select *, case when free > 0 then (target - 2.0::double * fixed) / free end as c from a
 ), c as (
-  select d.*, t.source_size, t.target, least(2.0::double, t.target / greatest(t.source_size, 1.0::double)) as want
-  from d join t on d.source is not distinct from t.source
+  select source, any_value(source_size) as source_size, any_value(target) as target,
+    coalesce(arg_max(c, wish) filter (c * wish < 2.0::double), arg_min(c, wish) filter (c is not null), 0.0::double) as c from b group by source
+), x as (
+  select d.*, c.source_size, c.target, least(2.0::double, c.c * wish) as want from d join c on d.source is not distinct from c.source
 ), p as (
-  select *, floor(want)::bigint as certain, want - floor(want) as p from c
+  select *, floor(want)::bigint as certain, want - floor(want) as p from x
 ), z as (
   select *, case when p > 0 and size > 0 then ((u / (1 - u)) / (p / (1 - p))) end as odds from p
 ), r as (
-  select *, odds / (1 + odds) as z, target - sum(certain * size) over (partition by source) as rest from z
-), b as (
-  select *, coalesce(sum(case when z is not null then size end) over (partition by source order by z nulls last, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as before from r
+  select *, least(odds / (1 + odds), 1 - power(2.0::double, -40)) as z, target - sum(certain * size) over (partition by source) as rest from z
+), o as (
+  select *, coalesce(sum(case when odds is not null then size end) over (partition by source order by case when odds is null then 2 else z end, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as before from r
 )
 select doc_id, size::bigint as size, source_size::bigint as source_size, target,
-  ((certain + case when z is not null and before + size / 2.0::double <= rest then 1 else 0 end) * size)::bigint as taken
-from b
+  ((certain + case when odds is not null and before + size / 2.0::double <= rest then 1 else 0 end) * size)::bigint as taken
+from o
 """
 
 _URL = r"""
@@ -218,11 +236,22 @@ select d.doc_id, coalesce(n_units, 0)::bigint as n_units, license, round(dice, 6
 """
 
 
+def _shard_sql() -> str:
+    """The table of slots is that of ``lookup_table``, which has a test of its own; slots and look-ups are SQL's."""
+    at = ", ".join(map(str, sharding.lookup_table(SHARDS)))
+    return f"""
+with s as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 15))::bigint % {sharding.TABLE_SIZE} as slot from documents),
+t as (select unnest(range({sharding.TABLE_SIZE})) as slot, unnest([{at}]) as k)
+select doc_id, slot, 'shard-' || lpad(k::varchar, 3, '0') as shard from s join t using (slot)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_pareto_mix": _MIX,
         "op4_url_filter": _URL,
         "op6_near_duplicates": _NEAR,
+        "op7_sharding": _shard_sql(),
         "op8_top_k": _TOP,
         "op9_decontaminate": _LEAK,
         "op10_license_scan": _license_sql(),

@@ -1,24 +1,25 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector over sparse word features is shared by all ordered
-thresholds. Features are the words of a text and
-the beginnings of longer ones, each 0 or 1. Weights are learned with an L1 penalty by proximal
-steps, so that only words that speak for a grade keep one; scoring looks words up and never needs the rest.
+thresholds. Features are the words of a text and the beginnings of longer ones, each 0 or 1. Weights are learned
+with an L1 penalty by proximal steps, so that only words that speak for a grade keep one; scoring looks words up and
+never needs the rest. Grades are those that the labels hold, in their order, and may be any number from two on.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, as_bytes, small_batches, uniform
 
-#: Rows of each grade that are learned from, at most about, and bytes of such a text at most.
+#: Texts of each grade that are learned from, and bytes of such a text, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 20_000
 MAX_GRADES = 20
 #: Bytes of a longer word's beginnings, which are features too: compounds share them.
@@ -53,7 +54,7 @@ class Model:
         return p @ g, np.array(self.grades)[p.argmax(1)] if len(p) else np.empty(0, int)
 
 
-def fit(texts: list[bytes | None], grades: list[int], penalty: float = 2e-4, rounds: int = 250, least_docs: int = 5) -> Model:
+def fit(texts: list[bytes | None], grades: list[int], penalty: float = 1e-3, rounds: int = 250, least_docs: int = 3) -> Model:
     """Learn from texts and grades, each grade weighing the same. One grade, or none, gives a model without weights."""
     known = sorted(set(grades))
     if len(known) < 2:
@@ -95,32 +96,29 @@ def fit(texts: list[bytes | None], grades: list[int], penalty: float = 2e-4, rou
     return Model({x: float(w[i]) for x, i in vocab.items() if w[i]}, t, [int(g) for g in known])
 
 
-def graded(texts: list[bytes | None], toxic: list[int], least: int = 4) -> list[int]:
-    """Grades 0, 1 and 2 for texts labelled toxic or not: 2 for a toxic text with ``least`` or more marked words.
+def smallest(rows: DataFrame, key: Column, grade: str = "grade", n: int = SAMPLE_ROWS, max_grades: int = MAX_GRADES) -> DataFrame:
+    """Of each grade the ``n`` rows of the smallest random numbers of ``key``, found without a sort in one task.
 
-    Marked words are those with over half the largest weight in a first fit on the labels; without any, or without
-    texts of grade 2, grades are the labels.
+    More than ``max_grades`` grades raise ValueError; null ones are left out.
     """
-    first = fit(texts, toxic)
-    top = max(first.weights.values(), default=0.0)
-    marked = {w for w, x in first.weights.items() if x > top / 2 and w[-1:] != b"*"}
-    return [int(y) * (1 + (len(features(t) & marked) >= least)) for t, y in zip(texts, toxic, strict=True)]
-
-
-def train(rows: DataFrame, regrade=None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, max_grades: int = MAX_GRADES) -> Model:
-    """Learn from a bounded sample of ``rows`` (text, grade int): about ``sample_rows`` of each grade, of at most
-    ``sample_bytes`` bytes, picked by a hash of the text. Null texts and grades are left out; more than ``max_grades``
-    grades raise ValueError. ``regrade(texts, grades)`` may refine the grades of the sample."""
-    rows = rows.select(as_bytes().alias("text"), F.col("grade").cast("int").alias("grade")).where(F.col("text").isNotNull() & F.col("grade").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    sizes = dict(map(tuple, rows.groupBy("grade").count().limit(max_grades + 1).collect()))
-    if len(sizes) > max_grades:
+    rows = rows.where(F.col(grade).isNotNull())
+    known = [r[0] for r in rows.select(grade).distinct().limit(max_grades + 1).collect()]
+    if len(known) > max_grades:
         raise ValueError(f"more than {max_grades} grades")
-    rate = F.lit(0.0)
-    for g, n in sizes.items():
-        rate = F.when(F.col("grade") == g, F.lit(min(1.0, sample_rows / n))).otherwise(rate)
-    got = sorted((bytes(r[0]), r[1]) for r in rows.where(uniform(F.xxhash64("text"), "toxicity") < rate).toLocalIterator())
-    texts, grades = [t for t, _ in got], [g for _, g in got]
-    return fit(texts, regrade(texts, grades) if regrade else grades)
+    parts = [rows.where(F.col(grade) == g).orderBy(uniform(key, "toxicity"), key).limit(n) for g in sorted(known)]
+    return reduce(DataFrame.union, parts) if parts else rows.limit(0)
+
+
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, max_grades: int = MAX_GRADES) -> Model:
+    """Learn from a bounded sample of ``rows`` (text, grade int): ``sample_rows`` distinct texts of each grade at most, of
+    at most ``sample_bytes`` bytes. Null texts and grades are left out; more than ``max_grades`` grades raise ValueError."""
+    rows = rows.select(as_bytes().alias("text"), F.col("grade").cast("int").alias("grade")).where(F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # at most sample_rows rows of each of max_grades grades
+    chosen = F.broadcast(smallest(rows.select("grade", "h").distinct(), F.col("h"), n=sample_rows, max_grades=max_grades))
+    got = rows.join(chosen, ["grade", "h"]).groupBy("grade", "h").agg(F.min("text").alias("text")).select("text", "grade")
+    got = sorted((bytes(r[0]), r[1]) for r in got.toLocalIterator())
+    return fit([t for t, _ in got], [g for _, g in got])
 
 
 def severity(docs: DataFrame, model: Model, toxic_from: float | None = None) -> DataFrame:
@@ -128,7 +126,8 @@ def severity(docs: DataFrame, model: Model, toxic_from: float | None = None) ->
 
     expected_severity is the mean grade under the model, grade the likeliest one, and toxic says that the severity
     is nearer to a higher grade than to the least (``toxic_from`` sets another mark). Null and empty texts have no
-    features. Other columns are ignored.
+    features, so their severity is that of a score of 0; an empty table gives an empty result, and rows that repeat
+    get one result each. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -86,6 +86,37 @@ def test_near_duplicates_brute(spark):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_near_duplicates_of_short_texts_in_tiles(spark, monkeypatch):
+    # many short texts about one, at the query's own settings: links past the most central text are found in tiles
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "TILE", 20_000)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(40)
+            w[at] = f"{w[at]}x{rng.randrange(2)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(38)} for t in texts]
+    root = list(range(150))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, neardup.Config(words=3, percent=85)).collect()}
+    assert got == {i: find(i) for i in range(150)} and len(set(got.values())) > 1
+
+
 def test_estimate_is_near():
     rng = np.random.default_rng(0)
     a = neardup.multipliers(240)
@@ -164,17 +195,71 @@ def test_ordinal_thresholds():
     assert np.corrcoef(mean, grades[400:])[0, 1] > 0.95
 
 
+def test_grades_of_the_query_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels, "doc_id").withColumn("grade", F.col("toxic"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    model = toxicity.train(known.where(~held))
+    rows = known.where(held)
+    got = toxicity.severity(rows, model).join(rows.select("doc_id", "grade").withColumnRenamed("grade", "is"), "doc_id").toPandas()
+    assert (got.grade[got["is"] == 1] == 1).mean() > 0.8 and (got.grade[got["is"] == 0] == 0).mean() > 0.98
+    # by the formula: P(grade <= k) = 1 / (1 + exp(score - threshold_k))
+    text = {r["doc_id"]: r["text"].encode() for r in rows.collect()}
+    for r in got.head(20).itertuples():
+        score = sum(model.weights.get(w, 0.0) for w in toxicity.features(text[r.doc_id]))
+        assert np.isclose(r.expected_severity, 1 - 1 / (1 + np.exp(score - model.thresholds[0])))
+
+
+def test_toxicity_learns_distinct_texts(spark):
+    # copies of one text leave room for others; null grades and texts go, and too many grades are an error
+    rows = [("same text here", 0)] * 500 + [(f"kind word{i}", 0) for i in range(30)] + [(f"vile word{i}", 1) for i in range(30)] + [(None, 1), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, grade int")
+    m = toxicity.train(df, sample_rows=25)
+    assert m.predict([b"vile word3", b"kind word3"])[1].tolist() == [1, 0]
+    with pytest.raises(ValueError):
+        toxicity.train(df, max_grades=1)
+    assert toxicity.severity(df.select(F.lit(1).alias("doc_id"), "text").limit(0), m).count() == 0
+
+
+def test_kept_trees_over_rounds_of_edits(spark):
+    rng = random.Random(8)
+    count = tokencount.count_with()
+    texts = ["word and more " * 400, "ab12" * 900, "x" * 3000, "", None, "don't it's; 'tis 'll\n\n a  b", "a"]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2
+    docs = tokencount.token_counts(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, extra string"), size=64)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect()) == sorted((i, count(t or "")) for i, t in rows)
+    kind = "array<struct<at int, remove int, put string>>"
+    now = {i: t for i, t in enumerate(texts)}
+    for _ in range(3):
+        edits = {i: [(rng.randrange(60), rng.randrange(9), rng.choice(["", " new ", "'s", "9z"])) for _ in range(2)] for i in now}
+        put = spark.createDataFrame(list(edits.items()), f"doc_id long, edits {kind}")
+        docs = spark.createDataFrame(tokencount.edited_counts(docs.select("doc_id", "text", "tree").join(put, "doc_id"), size=64).collect(), "doc_id long, text string, n_tokens long, n_tokens_before long, n_reencoded long, rebuilt boolean, tree " + tokencount.TREE)
+        for i, t in now.items():
+            for at, cut, new in edits[i] if t is not None else ():
+                at = min(at, len(t))
+                t = t[:at] + new + t[at + cut :]
+            now[i] = t
+        for r in docs.collect():
+            assert r["text"] == now[r["doc_id"]] and r["n_tokens"] == count(r["text"] or "") and not r["rebuilt"]
+            assert r["n_reencoded"] < 1000 or r["doc_id"] == 2
+    # the tree of another text, and an edit that is null
+    other = docs.select("doc_id", F.lit("two words").alias("text"), "tree", F.lit(None).cast(kind).alias("edits")).where("doc_id = 0")
+    assert [(r["n_tokens"], r["rebuilt"]) for r in tokencount.edited_counts(other).collect()] == [(2, True)] * 2
+
+
 def test_edits_equal_a_full_count():
     rng = random.Random(1)
     count = tokencount.count_with()
-    for _ in range(30):
-        text = "".join(rng.choice(["ab", " ", "  ", "x1", "\n", " don't", "é", "."]) for _ in range(rng.randrange(0, 400)))
+    for _ in range(40):
+        text = "".join(rng.choice(["ab", " ", "  ", "x1", "\n", " don't", "é", ".", "'s", "'", "-", "7", "\t", "\u00a0", "\x1c", "字", "²"]) for _ in range(rng.randrange(0, 400)))
         tree = tokencount.Tree(text, count, size=16)
         for _ in range(8):
             at, cut, put = rng.randrange(len(text) + 1), rng.randrange(12), rng.choice(["", " ", "new words", " x", "  "])
             text = text[:at] + put + text[at + cut :]
             tree.edit(at, cut, put)
             assert tree.text() == text and tree.total == count(text)
+            assert tokencount.Tree(text, count, 16, tree.keep()).total == count(text)
     long = "word and more " * 5000
     tree = tokencount.Tree(long, count)
     tree.reencoded = 0
@@ -199,6 +284,50 @@ def test_top_k_tree(spark):
     assert plain(small) == plain(whole) and len(small) > 0
 
 
+def test_top_k_brute_of_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(i, [(i * k) % 5 - 2.0 for k in (1, 2)]) for i in range(60)] + [(20, [1.0, 1.0]), (20, [1.0, 1.0]), (21, []), (22, None), (23, [nan, 1.0]), (24, [1.0, None]), (None, [1.0, 1.0])]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [3.0, 1.0, 0.5])]  # of another length
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, e array<double>, score int").select("vec_id", topk.quantised("e", 4.0).alias("v"), "score")
+    good = [(i, [int(np.floor(4 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = set()
+    for q in {i for i, _ in good if i % 20 == 0}:
+        mine = {tuple(v) for i, v in good if i == q}
+        found = sorted(((-sum(a * b for a, b in zip(m, v, strict=True)), i) for m in mine for i, v in good if i != q and len(v) == len(m)))
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:7])}
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 7, 2, 9)
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_shards_of_the_query(spark):
+    import hashlib
+
+    t = sharding.lookup_table(queries.SHARDS)
+    got = queries.op7_sharding(spark, FOLDER).collect()
+    assert all(r["slot"] == int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % len(t) and r["shard"] == queries.SHARDS[t[r["slot"]]] for r in got)
+
+
+def test_table_is_claimed_in_turns():
+    # each shard claims, in its turn, the first free slot in its own order
+    names, size = ["a", "b", "c"], 31
+    import hashlib
+
+    free, want, orders = set(range(size)), {}, []
+    for n in names:
+        d = hashlib.md5(n.encode()).digest()
+        at, step = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:], "big") % (size - 1) + 1
+        orders.append([(at + i * step) % size for i in range(size)])
+        assert set(orders[-1]) == free
+    k = 0
+    while free:
+        slot = next(x for x in orders[k] if x in free)
+        want[slot] = k
+        free.discard(slot)
+        k = (k + 1) % 3
+    assert sharding.lookup_table(names, size) == [want[i] for i in range(size)]
+
+
 def test_table_is_balanced_and_stable():
     names = [f"s{i}" for i in range(7)]
     t = sharding.lookup_table(names, 1009)
@@ -222,6 +351,60 @@ def test_aliases_inherit_blocks(spark):
     assert got[8][0] == got[9][0] == got[10][0] == "allow"  # an explicitly allowed alias outweighs a blocked one
 
 
+def test_targets_are_resolved(spark):
+    link = lambda to, base="": f"<head>{base}<link rel=canonical href='{to}'></head>"
+    rows = [
+        (1, "http://a.de/x/y/z", link("../../en/1")), (2, "http://b.de/q", link("en/1", '<base href="http://bad.com/">')), (3, "http://c.de/q", link("http:&#x2F;&#47;bad.com/en/1?a=1&amp;b=2")),
+        (4, "http://d.de/q", link("http://bad.com/./x/../en/1")), (5, "http://bad.com/en/1?a=1&b=2", None), (6, "http://bad.com/x", link("/en/1")), (7, "http://all.org", None), (8, "http://e.de", link("http://all.org/")),
+    ]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, verdict string, node int")
+    rules = [("bad.com/en/", "block"), ("all.org/", "block")]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block"}
+    # as many rules as are joined instead
+    many = rules + [(f"h{i}.net/p{i}/", "block") for i in range(300)]
+    more = pages.unionByName(spark.createDataFrame([(20, "http://w.h7.net/p7/x", None, "", 1), (21, "http://h7.net/p8/", None, "", 1), (22, None, None, None, None)], pages.schema))
+    got2 = {r["page_id"]: (r["verdict"], r["rule"]) for r in urlfilter.judge(more, many).collect()}
+    assert {i: v for i, (v, _) in got2.items() if i < 20} == got and got2[20] == ("block", "h7.net/p7/") and got2[21] == got2[22] == ("allow", None)
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_languages_of_odd_rows_and_brute(spark):
+    pieces = langid.Pieces(["▁", "a", "b", "ab", "▁a", "ba"])
+    rng = np.random.default_rng(5)
+    prob = np.concatenate([rng.random((pieces.n, 2)) + 0.01, np.zeros((1, 2))])
+    model = langid.Model(pieces, ["x", "y"], prob)
+
+    def every(w, k):
+        return 1.0 if not w else sum(prob[pieces.ids.get(w[:n], 0), k] * every(w[n:], k) for n in range(1, len(w) + 1) if w[:n] in pieces.ids or n == 1)
+
+    rows = [(1, "ab ba, AB!", "k"), (1, "ab ba, AB!", "k"), (None, "bbab", None), (3, "12 .", "k"), (4, None, "k"), (5, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
+    got = docs.select("text", langid.predict(docs, model).alias("p")).select("text", "p.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split()]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = [np.prod([every("▁" + w, k) for w in words]) for k in (0, 1)]
+        assert r["lang_pred"] == "xy"[int(np.argmax(total))] and np.isclose(r["score"], max(total) / sum(total))
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    w = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(None, " ".join(w[:20])), (2, " ".join(w[10:25])), (2, None)], "item_id long, text string")
+    rows = [(1, " ".join(w), 5, "k", [1]), (1, " ".join(w), 5, "k", [1]), (None, " ".join(w), 6, "k", None), (3, "clean words", 11, "k", [2]), (4, None, None, "k", [3]), (5, " ".join(w[:12]), 1, "k", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, `row` string, `x.y` array<int>")
+    one, many = (sorted(map(repr, decontam.clean(docs, bench, max_words=m).collect())) for m in (10**6, 10))
+    assert one == many and len(one) == 5 and decontam.clean(docs, bench).columns == docs.columns
+    left = " " + " ".join(w[25:])
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in decontam.clean(docs, bench).collect()} == {(1, left, len(left)), (None, left, len(left)), (3, "clean words", 11), (4, None, None)}
+    for m in (10**6, 10):
+        found = {(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontam.find(docs, bench, max_words=m).collect()}
+        assert found == {(1, 25, 1), (None, 25, 1), (3, 0, 0), (4, 0, 0), (5, 12, 0)}
+
+
 def test_weights_per_document(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"), (F.col("id") % 4 + 1).alias("q"))
     r = mixing.mix(docs, (1.0,), 0.5, 2.0, weight_col="q").toPandas().set_index("doc_id")
@@ -236,8 +419,6 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = p.identify_language(spark, docs, FOLDER)
     assert out.columns == docs.columns and out.count() > 0.98 * docs.where("text rlike '[a-z]'").count()
-    two = docs.limit(3).union(docs.limit(3)).cache()
-    assert p.drop_near_duplicates(spark, two, FOLDER).count() <= 3
     clean = p.decontaminate(spark, docs, FOLDER)
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     assert clean.columns == docs.columns and decontam.find(clean, bench).where("contaminated").count() == 0
@@ -246,12 +427,18 @@ def test_pipeline(spark):
 
 
 def test_repeat_holds_each_row_as_often_as_the_mix(spark):
-    rows = [(i, " ".join(["w"] * (i % 7)) if i % 11 else None, [None, "a", "b", "c"][i % 4], "x") for i in range(400)] + [(None, "w w", "a", "y")]
+    rows = [(i, " ".join(["w"] * (i % 7)) if i % 11 else None, [None, "a", "b", "c"][i % 4], "x") for i in range(300)] + [(None, "w w", "a", "y")]
+    # one id for many texts, rows without an id, and rows alike in everything
+    rows += [(7, f"w w {i}", "b", "x") for i in range(200)] + [(None, f"n {i}", "c", "x") for i in range(200)] + [(9, "s s s", "d", "x")] * 301
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
-    got = mixing.repeat(docs)
-    assert got.columns == docs.columns
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
-    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == want
+    got, mixed = mixing.repeat(docs, weight_col=F.length("text")), mixing.mix(docs, weight_col=F.length("text")).toPandas()
+    assert got.columns == docs.columns and len(mixed) == len(rows)
+    want = mixed[mixed.copies > 0].groupby(["doc_id", "source", "size"], dropna=False).copies.sum()
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
+    have = got.groupBy("doc_id", "source", size.alias("size")).count().toPandas().set_index(["doc_id", "source", "size"])["count"]
+    assert have.sort_index().tolist() == want.sort_index().tolist() and len(have) == len(want)
+    by = mixed.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.most).all() and (mixed.taken <= 2 * mixed["size"]).all()
     assert mixing.repeat(docs.limit(0)).count() == 0
 
 

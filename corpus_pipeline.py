@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celltide.llm import decontam, langid, mixing, neardup, sharding
-from celltide.llm.common import Scratch, bounded, checkpoint_dir, table
+from celltide.llm.common import Scratch, bounded, checkpoint_dir, delete, gathered, table
 from celltide.llm.queries import SHARDS
 
 #: A document stays if its likeliest language has this share of the likelihood.
@@ -16,7 +16,11 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents, drop those without a language; an unset label gets the prediction."""
+    """Learn from the labelled documents, drop those without a language; an unset label gets the prediction.
+
+    Null and empty texts, and texts without letters, have no language and go. Rows that repeat are judged alike; an
+    empty table stays empty, and without any label all documents go, as nothing is learned.
+    """
     model = langid.train(docs)
     judged = docs.withColumn("__p", langid.predict(docs, model))
     kept = judged.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= LEAST_SCORE))
@@ -26,7 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by 80 % of five-word shingles: that of the smallest doc_id, nulls last.
 
-    Rows are told apart by doc_id and text, so those that merely share a doc_id are documents of their own.
+    Rows are told apart by doc_id and text, so those that merely share a doc_id are documents of their own. Of rows
+    alike in both one stays. Texts without a word have no copies and all stay, null ones too; so does an empty table.
     """
     key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
@@ -34,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         found = s.put(neardup.near_duplicates(docs, by_row=True).where("root is not null").select("doc_id", "text_hash", "root"))
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
         groups = s.put(found.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select(F.col("root").alias("g_root"), "first"))
-        members = found.join(bounded(groups), F.col("root") == F.col("g_root"))
+        members = s.put(found.join(bounded(groups), F.col("root") == F.col("g_root")))
         stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
         gone = s.keep(members.where(~stays).select(*key).distinct())
         # rows of the document that stays which repeat its text too: of these one stays
@@ -48,17 +53,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut benchmark passages out of the texts and drop documents that are mostly such passages."""
+    """Cut benchmark passages out of the texts and drop documents that are mostly such passages. Null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
-    return mixing.repeat(docs)
+    """Repeat or leave out documents so that sources meet their target weights, longer documents repeated sooner.
+
+    Null and empty texts have no words, so they are taken as their certain copies only; a null source is one of its own.
+    """
+    return mixing.repeat(docs, weight_col=mixing.longer_first())
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every document in a shard."""
+    """Place every document in a shard; rows of one doc_id share it, and a null doc_id is placed by its text.
+
+    The last stage adds slot and shard; laying files out by them is left to the writer, as the placing needs no shuffle.
+    """
     return sharding.shard(docs, SHARDS)
 
 
@@ -75,10 +86,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each writes its rows to the shared checkpoint folder."""
+    """All stages over ``documents``; each writes its rows to the shared checkpoint folder, where the last stay.
+
+    What a stage has read goes as soon as its own rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
     root = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done: list[str] = []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        with gathered() as kept:
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        for path in [*kept, *done]:
+            delete(spark, path)
+        done = [f"{root}/{name}"]
+        docs = spark.read.parquet(done[0])
     return docs

@@ -256,15 +256,21 @@ def train(docs: DataFrame, where: Column | None = None, vocabulary: str = VOCABU
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
         known = known.where(where)
-    known = known.select("lang", F.substring("text", 1, sample_chars).alias("text")).withColumn("h", F.xxhash64("text"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    known = known.select("lang", F.substring("text", 1, sample_chars).alias("text"))
+    known = known.select("lang", "text", F.xxhash64("text").alias("h"), F.col("text").rlike("\\p{L}").alias("letters"))
+    about = [F.approx_count_distinct(F.when(F.col("letters"), F.col("h"))).alias("n"), F.approx_count_distinct("h").alias("n_all")]
+    sizes = known.groupBy("lang").agg(F.count("*").alias("count"), *about).orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     counts: dict[str, Counter] = {r["lang"]: Counter() for r in sizes}
     if counts:
-        texts = known.where(F.col("lang").isin(list(counts))).groupBy("lang", "h").agg(F.max(F.col("text").rlike("\\p{L}")).alias("letters"))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("letters"), uniform(F.col("h"), "langid"), "h"))
+        # four times the sample of each label by random numbers of its texts, before anything is moved; then the smallest
+        rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 4.0 * sample_docs / max(r["n"] or r["n_all"], 1)))])
+        worded = [r["lang"] for r in sizes if r["n"]]
+        some = known.where(F.col("lang").isin(list(counts)) & (uniform(F.col("h"), "langid") < rate[F.col("lang")]))
+        texts = some.where(F.col("letters") | ~F.col("lang").isin(worded)).groupBy("lang", "h").count()
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(uniform(F.col("h"), "langid"), "h"))
         # at most sample_docs rows of each of max_languages labels
         chosen = texts.withColumn("n", place).where(F.col("n") <= sample_docs).select("lang", "h")
-        sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
+        sample = some.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
         for lang, _, text in sample.toLocalIterator():
             counts[lang].update(w for w in _LETTERS.findall(text.lower()) if _letters(w))
     return fit({k: v for k, v in counts.items() if v}, Pieces.load(vocabulary))
@@ -273,7 +279,8 @@ def train(docs: DataFrame, where: Column | None = None, vocabulary: str = VOCABU
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A struct (lang_pred, score) of a text column: the likeliest language, and its share of all languages' likelihood.
 
-    Null texts and texts without letters, and all texts if no language was learned, get (und, 0). Whole texts count.
+    Null texts and texts without letters, and all texts if no language was learned, get (und, 0). Whole texts count;
+    rows that repeat are judged alike, and other columns take no part.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

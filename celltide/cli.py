@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import dataset
 from .session import session
-from .sources import text
+from .sources import anndata, cellranger, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,9 +31,10 @@ def parser() -> argparse.ArgumentParser:
     add("validate", ("path", {}))
     add("provenance", ("path", {}), ("--methods-text", {"action": "store_true"}))
     add("export-fragments", ("input", {}), out, ("--groupby", {}), ("--region", {}))
-    add("export-coverage", ("input", {}), out, ("--groupby", {"required": True}), ("--format", {"default": "bedgraph"}), ("--normalize", {"default": "cpm"}), ("--bin-size", {"type": int, "default": 10}), ("--region", {}))
+    add("export-coverage", ("input", {}), out, ("--groupby", {"required": True}), ("--format", {"default": "bigwig"}), ("--normalize", {"default": "cpm"}), ("--bin-size", {"type": int, "default": 10}), ("--region", {}))
     add("build-csc", ("input", {}), ("--matrix", {}), ("--all", {"action": "store_true"}))
     add("copy", ("input", {}), ("output", {}))
+    add("convert", ("input", {}), ("output", {}), ("--modality -m", {"default": "RNA"}), ("--arc", {"action": "store_true"}), ("--no-fragments", {"action": "store_true"}))
     add("init", ("--barcodes", {"required": True}), out, ("--sample-id", {}))
     return p
 
@@ -77,6 +78,8 @@ def run(a: argparse.Namespace, spark) -> None:
                 ds.layer(name).build_feature_index()
         case "copy":
             opened(a.input).copy(a.output)
+        case "convert":
+            convert(spark, a)
         case "init":
             ds = dataset.Dataset.create(spark, a.output, force=True)
             cells = text.read_barcodes(spark, a.barcodes).select("line", "barcode", F.lit(a.sample_id).cast("string").alias("sample_id"))
@@ -84,6 +87,20 @@ def run(a: argparse.Namespace, spark) -> None:
             ds.close()
 
 
+def convert(spark, a: argparse.Namespace) -> None:
+    """A file or folder to a dataset, or a dataset to a file, by the names."""
+    if a.output.endswith(".h5ad"):
+        anndata.to_anndata(dataset.Dataset.open(spark, a.input), a.modality).write_h5ad(a.output)
+    elif a.input.endswith(".h5ad"):
+        anndata.from_h5ad(spark, a.input, a.output, a.modality)
+    elif a.input.endswith(".h5"):
+        cellranger.from_10x_h5(spark, a.input, a.output)
+    elif a.arc:
+        cellranger.from_cellranger_arc(spark, a.input, a.output, import_fragments=not a.no_fragments)
+    else:
+        cellranger.from_cellranger(spark, a.input, a.output, import_fragments=False if a.no_fragments else None)
+
+
 def main(args: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(args)
     try:

@@ -102,12 +102,14 @@ def one_based(start: Column) -> Column:
     return start - 1
 
 
-def attributes(text: Column) -> Column:
-    """Annotation attributes ``key "value"`` as a map, the last of a key counts."""
-    pattern = r'(\w+)\s+"([^"]*)"'
-    return F.map_from_arrays(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
+ATTRIBUTE = r'(?<!\w)(\w+)\s+"([^"]*)"'
 
 
-def attribute(text: Column, key: str) -> Column:
-    """The last value of one attribute, null without it."""
-    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(rf'(?<!\w){key}\s+"([^"]*)"'), F.lit(1))), -1)
+def attribute_keys(text: Column) -> Column:
+    """The keys of annotation attributes ``key "value"``, in their order."""
+    return F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(1))
+
+
+def attribute_values(text: Column) -> Column:
+    """Their values."""
+    return F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(2))

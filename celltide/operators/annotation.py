@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regions import attribute, one_based
+from ..functions.regions import attribute_keys, attribute_values, one_based
 
 
 def parse_gtf(lines: DataFrame) -> DataFrame:
@@ -15,13 +15,18 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     """
     f = F.split("value", "\t")
     good = lines.where(~F.startswith("value", F.lit("#")) & (F.size(f) >= 9))
-    a = f[8]
-    tags = F.regexp_extract_all(a, F.lit(r'(?<!\w)tag\s+"([^"]*)"'), F.lit(1))
-    kind = F.coalesce(attribute(a, "gene_type"), attribute(a, "gene_biotype"))
+    # keys and values are found once for a line; the generator keeps the optimiser from copying that into each use
+    pairs = F.struct(f.alias("f"), attribute_keys(f[8]).alias("keys"), attribute_values(f[8]).alias("vals"))
+    good = good.select("line", F.inline(F.array(pairs)))
+    f, places = F.col("f"), F.transform("keys", lambda k, i: F.struct(k.alias("k"), F.get("vals", i).alias("v")))
+    tags = F.transform(F.filter(places, lambda x: x["k"] == "tag"), lambda x: x["v"])
+    # the last of a key counts
+    value = lambda key: F.get(F.col("vals"), F.size("keys") - F.array_position(F.reverse("keys"), F.lit(key)).cast("int"))
+    of = lambda *keys: F.coalesce(*[F.when(F.array_contains("keys", key), value(key)) for key in keys])
     return good.select(
         "line", f[0].alias("chrom"), f[1].alias("source"), f[2].alias("feature"), one_based(f[3].cast("long")).alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"),
-        attribute(a, "gene_id").alias("gene_id"), attribute(a, "gene_name").alias("gene_name"), kind.alias("gene_type"), attribute(a, "transcript_id").alias("transcript_id"),
-        F.coalesce(attribute(a, "transcript_type"), attribute(a, "transcript_biotype")).alias("transcript_type"), attribute(a, "exon_number").try_cast("int").alias("exon_number"), tags.alias("tags"),
+        of("gene_id").alias("gene_id"), of("gene_name").alias("gene_name"), of("gene_type", "gene_biotype").alias("gene_type"), of("transcript_id").alias("transcript_id"),
+        of("transcript_type", "transcript_biotype").alias("transcript_type"), of("exon_number").try_cast("int").alias("exon_number"), tags.alias("tags"),
     )
 
 
@@ -30,8 +35,8 @@ def genes(parsed: DataFrame, biotypes: list[str] | None = None) -> DataFrame:
     g = parsed.where((F.col("feature") == "gene") & F.col("gene_id").isNotNull())
     if biotypes is not None:
         g = g.where(F.col("gene_type").isin(biotypes))
-    last = Window.partitionBy("gene_id").orderBy(F.desc("line"))
-    return g.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("gene_id", "chrom", "start", "end", "strand", "gene_name", "gene_type", "source")
+    kept = ["chrom", "start", "end", "strand", "gene_name", "gene_type", "source"]
+    return g.groupBy("gene_id").agg(F.max_by(F.struct(*kept), "line").alias("x")).select("gene_id", *[F.col(f"x.{c}") for c in kept])
 
 
 def children(parsed: DataFrame, features: list[str], kept_genes: DataFrame | None = None, transcript_pattern: str | None = None, transcript_prefixes: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:

@@ -57,6 +57,34 @@ def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name)))
 
 
+def with_symbol(df: DataFrame) -> DataFrame:
+    """``df`` with a column symbol: itself, else the first column that may hold symbols; without any, null."""
+    if "symbol" in df.columns:
+        return df
+    alias = next((c for c in schema.SYMBOLS if c in df.columns), None)
+    return df.withColumn("symbol", F.col(alias) if alias else F.lit(None).cast("string"))
+
+
+def with_metrics(cells: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Cells with all columns of per-barcode ``metrics`` that they lack, null where it has none; of a barcode that
+    repeats there one row counts."""
+    new = [c for c in metrics.columns if c.lower() not in {x.lower() for x in cells.columns}]
+    if not new:
+        return cells
+    return cells.join(metrics.select("barcode", *[F.col(f"`{c}`") for c in new]).dropDuplicates(["barcode"]), "barcode", "left").select(*cells.columns, *[F.col(f"`{c}`") for c in new])
+
+
+def with_annotation(peaks: DataFrame, table: DataFrame) -> DataFrame:
+    """Peaks with nearest_gene, distance_to_tss and annotation of a ``table`` (chrom, start, end, gene, distance,
+    peak_type), null where it has none; of a place that repeats there the smallest row counts."""
+    found = table.groupBy(F.col("chrom").alias("chr"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_")).agg(
+        F.min(F.struct(F.col("gene").alias("nearest_gene"), F.col("distance").try_cast("long").alias("distance_to_tss"), F.col("peak_type").alias("annotation"))).alias("x")
+    )
+    new = ["nearest_gene", "distance_to_tss", "annotation"]
+    own = [c for c in peaks.columns if c not in new]
+    return peaks.select(*own).join(found, ["chr", "start", "end_"], "left").select(*own, *[F.col(f"x.{c}") for c in new])
+
+
 def repeated(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
 

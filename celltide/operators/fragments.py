@@ -75,9 +75,10 @@ def tile_matrix(df: DataFrame, axis: DataFrame, size: int, binary: bool = False)
 def coverage(df: DataFrame, cells: DataFrame, group: str, bin_size: int, normalize: str = "cpm", sizes: dict[str, int] | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
     """(group, chrom, bin, value): insertions of each group's cells, one at each end of a fragment.
 
-    Both ends are clipped to the chromosome's bins; with ``sizes`` other chromosomes don't count. cpm divides by
-    millions of the group's fragments, rpkm also by thousands of bases; a region limits the bins shown, not what is
-    divided by (its chromosome's fragments). All groups are done in one pass.
+    Both ends are clipped to the chromosome's bins; with ``sizes`` other chromosomes don't count, but that of a region
+    does, with the region's end as its size. cpm divides by millions of the group's fragments, rpkm also by thousands
+    of bases; a region limits the bins shown, not what is divided by (its chromosome's fragments). All groups are done
+    in one pass: a fragment is two insertions, so counted bins tell the fragments too.
     """
     if normalize not in ("cpm", "rpkm", "raw", "none", None):
         raise ValueError(f"unknown normalization {normalize!r}")
@@ -85,15 +86,15 @@ def coverage(df: DataFrame, cells: DataFrame, group: str, bin_size: int, normali
     f = df.select("chrom", "start", "end_", "cell_idx")
     if region is not None:
         f = f.where(F.col("chrom") == region[0])
+        sizes = sizes if sizes is None or region[0] in sizes else sizes | {region[0]: region[2]}
     if sizes is not None:
         last = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(max(1, -(-v // bin_size)) - 1))]), F.col("chrom"))
         f = f.where(F.col("chrom").isin(list(sizes)))
     f = f.join(of, "cell_idx")
-    totals = f.groupBy("group").agg(F.count("*").alias("total"))
     hits = f.select("group", "chrom", F.explode(F.array("start", "end_")).alias("at")).withColumn("bin", F.greatest(F.floor(F.col("at") / bin_size), F.lit(0)))
     if sizes is not None:
         hits = hits.withColumn("bin", F.least("bin", last))
-    n = hits.groupBy("group", "chrom", "bin").agg(F.count("*").alias("n"))
+    every = n = hits.groupBy("group", "chrom", "bin").agg(F.count("*").alias("n"))
     if region is not None:
         n = n.where((F.col("bin") >= region[1] // bin_size) & (F.col("bin") < -(-region[2] // bin_size)))
     if normalize in ("raw", "none", None):
@@ -101,7 +102,9 @@ def coverage(df: DataFrame, cells: DataFrame, group: str, bin_size: int, normali
     value = F.col("n") / (F.col("total") / F.lit(1e6))
     if normalize == "rpkm":
         value = value / F.lit(bin_size / 1000)
-    return n.join(bounded(totals), "group").select("group", "chrom", "bin", value.alias("value"))
+    # the exchange of the bins serves both sides; a row for each group is what adaptive execution broadcasts
+    totals = every.groupBy("group").agg((F.sum("n") / 2).alias("total"))
+    return n.join(totals, "group").select("group", "chrom", "bin", value.alias("value"))
 
 
 def export_rows(df: DataFrame, cells: DataFrame) -> DataFrame:

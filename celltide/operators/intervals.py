@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regions import overlaps
-from .joins import BROADCAST_ROWS
+from .joins import bounded
 
 
 def in_region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -45,24 +45,28 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int) -> DataFrame:
 def merged(df: DataFrame, slice_size: int = 10_000_000) -> DataFrame:
     """(chrom, start, end_, n): overlapping or touching intervals coalesced, with how many went into each.
 
-    First within slices of the axis, so that no chromosome is ever sorted in one task, then the few results of
-    slices, of which only those that reach over a slice's edge can still join.
+    Islands are formed within slices of the axis. One begins a new interval unless an earlier slice reaches it, which
+    the largest end of all earlier slices tells; so intervals can be numbered by slice, and what is summed over a
+    chromosome is one row for each slice. No chromosome is ever in one task, however far an interval reaches.
     """
-    sliced = df.select("chrom", "start", "end_", F.lit(1).cast("long").alias("n")).withColumn("s", F.floor(F.col("start") / slice_size))
-    return _coalesced(_coalesced(sliced, ["chrom", "s"]), ["chrom"])
-
-
-def _coalesced(df: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("start", "end_")
-    before = F.max("end_").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = df.withColumn("__new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
-    island = begins.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end_").alias("end_"), F.sum("n").alias("n")).select("chrom", "start", "end_", "n")
+    sliced = df.select("chrom", "start", "end_").withColumn("s", F.floor(F.col("start") / slice_size))
+    order = Window.partitionBy("chrom", "s").orderBy("start", "end_")
+    upto, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max("end_").over(earlier)
+    island = sliced.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("long")).withColumn("island", F.sum("new").over(upto))
+    islands = island.groupBy("chrom", "s", "island").agg(F.min("start").alias("start"), F.max("end_").alias("end_"), F.count("*").alias("n"))
+    slices = Window.partitionBy("chrom").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    reach = islands.groupBy("chrom", "s").agg(F.max("end_").alias("last")).select("chrom", "s", F.max("last").over(slices).alias("reach"))
+    marked = islands.join(reach, ["chrom", "s"]).withColumn("new", (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("long"))
+    counts = marked.groupBy("chrom", "s").agg(F.sum("new").alias("n_new")).select("chrom", "s", F.coalesce(F.sum("n_new").over(slices), F.lit(0)).alias("base"))
+    numbered = marked.join(counts, ["chrom", "s"])
+    within = F.sum("new").over(Window.partitionBy("chrom", "s").orderBy("island").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = numbered.withColumn("number", F.col("base") + within)
+    return numbered.groupBy("chrom", "number").agg(F.min("start").alias("start"), F.max("end_").alias("end_"), F.sum("n").alias("n")).select("chrom", "start", "end_", "n")
 
 
 def of_cells(df: DataFrame, cells: DataFrame, chrom: str | None = None) -> DataFrame:
     """Intervals of the cells in ``cells`` (cell_idx, which may repeat), in order of chromosome name and start."""
-    ids = cells.select("cell_idx").distinct()
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    ids = bounded(cells.select("cell_idx").distinct())
     out = df if chrom is None else df.where(F.col("chrom") == chrom)
     return out.join(ids, "cell_idx", "left_semi").orderBy("chrom", "start")

@@ -114,6 +114,12 @@ def project(coo: DataFrame, own: DataFrame, merged: DataFrame) -> DataFrame:
     return summed(moved)
 
 
+def chunk_rows(n_rows: int, nnz: int, target_bytes: int = 8192) -> int:
+    """Rows of a chunk of about ``target_bytes`` at 8 bytes an entry: 16 to 10,000."""
+    each = nnz / n_rows if n_rows else 0
+    return int(min(10_000, max(16, target_bytes / (8 * each) if each else 10_000)))
+
+
 #: Numbers that share a slice when rows are renumbered.
 SLICE = 65_536
 

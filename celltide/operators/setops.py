@@ -55,7 +55,7 @@ def merge_matrices(inputs: list[tuple[DataFrame | None, DataFrame, int]], merged
     An input without the matrix adds no rows, which are zeros.
     """
     parts = [project(coo, own, merged).withColumn("row_idx", F.col("row_idx") + at) for coo, own, at in inputs if coo is not None]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else merged.sparkSession.createDataFrame([], "row_idx long, col_idx long, value double")
 
 
 def merge_fragments(inputs: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -29,15 +29,20 @@ def stratum_sizes(cells: DataFrame, group: str, target: int) -> DataFrame:
 
 
 def downsample(cells: DataFrame, n: int | None = None, fraction: float | None = None, group: str | None = None, seed: int = 42) -> DataFrame:
-    """(cell_idx) of a sample in order: the cells with the smallest hashes, over all or of each group's share.
+    """(cell_idx) of a sample in order: the cells with the smallest random numbers, over all or of each group's share.
 
-    If shares of at least 1 exceed the target, the sample is cut to it, again by hash. The same seed gives the same
-    cells on any cluster.
+    If shares of at least 1 exceed the target, the sample is cut to it, again by random number. A cell's number is an
+    MD5 of seed and cell_idx, so the same seed gives the same cells on any cluster. Cells that the numbers rule out
+    with near certainty go before anything is ranked, so a task ranks about as many as are wanted.
     """
     total = cells.count()
     target = target_size(total, n, fraction)
-    ranked = cells.withColumn("__h", F.xxhash64(F.lit(seed), "cell_idx"))
-    if group is not None:
-        ranked = ranked.join(bounded(stratum_sizes(cells, group, target)), F.col(group).eqNullSafe(F.col("group")))
-        ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("group").orderBy("__h"))).where(F.col("__n") <= F.col("n"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("cell_idx").cast("string")))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
+    ranked = cells.withColumn("__h", digest).withColumn("__u", u)
+    likely = lambda wanted, size: F.col("__u") <= (wanted + 12 * F.sqrt(wanted + 1) + 40) / size
+    if group is None:
+        return ranked.where(likely(F.lit(target), F.lit(max(total, 1)))).orderBy("__h").limit(target).select("cell_idx").orderBy("cell_idx")
+    ranked = ranked.join(bounded(stratum_sizes(cells, group, target)), F.col(group).eqNullSafe(F.col("group"))).where(likely(F.col("n"), F.col("size")))
+    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("group").orderBy("__h"))).where(F.col("__n") <= F.col("n"))
     return ranked.orderBy("__h").limit(target).select("cell_idx").orderBy("cell_idx")

@@ -31,6 +31,11 @@ def check_matrix(report: Report, name: str, coo: DataFrame, n_rows: int, n_cols:
     report.check(f"matrix_cols:{name}", b["cols"] <= n_cols and (not entity_cols or n_cols == entity_cols))
 
 
+def check_order(report: Report, name: str, coo: DataFrame) -> None:
+    """No position comes twice."""
+    report.check(f"matrix_positions:{name}", coo.groupBy("row_idx", "col_idx").count().where("count > 1").isEmpty())
+
+
 def truncated(coo: DataFrame, n_rows: int, n_cols: int | None = None) -> DataFrame:
     """Entries within the axes."""
     out = coo.where((F.col("row_idx") >= 0) & (F.col("row_idx") < n_rows))

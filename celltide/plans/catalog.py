@@ -27,10 +27,9 @@ _VIEWS = """with cells as (select c_custkey as cell_idx, c_name as barcode, c_na
 genes as (select p_partkey as gene_idx, 'G' || p_partkey as gene_id, p_name as symbol, p_type as biotype, p_size as size from part),
 hits as (select o_custkey as row_idx, l_partkey as col_idx, l_quantity as value, l_returnflag as flag from lineitem join orders on l_orderkey = o_orderkey),
 coo as (select row_idx, col_idx, sum(value) as value from hits group by 1, 2),
-sparse as (select row_idx, col_idx, sum(value) as value from hits where value > 45 and flag = 'R' group by 1, 2),
 f0 as (select event_type as chrom, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000000 as start, user_id as cell_idx, value, event_id from events),
 frags as (select chrom, start, start + 1 + floor(value)::bigint as end_, cell_idx, 1 as dup_count, event_id from f0),
-few as (select row_number() over (order by event_id) as region, chrom, start, start + 7200 as end_ from frags where cell_idx < 20)
+wide as (select row_number() over (order by event_id) as region, chrom, start, start + 7200 as end_ from frags)
 """
 
 
@@ -56,19 +55,16 @@ def coo(spark, d):
     return matrix.summed(hits(spark, d))
 
 
-def sparse(spark, d):
-    return matrix.summed(hits(spark, d).where("value > 45 and flag = 'R'"))
-
-
 def frags(spark, d):
     start = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 1000000")
     e = _t(spark, d, "events").select(F.col("event_type").alias("chrom"), start.alias("start"), F.floor("value").alias("len"), F.col("user_id").alias("cell_idx"), "event_id")
     return e.select("chrom", "start", (F.col("start") + 1 + F.col("len")).alias("end_"), "cell_idx", F.lit(1).alias("dup_count"), "event_id")
 
 
-def few(spark, d):
-    """Regions of a fixed width; their number is the place of their event among those chosen."""
-    return _numbered(frags(spark, d).where("cell_idx < 20"))
+def wide(spark, d):
+    """A region of a fixed width at every fragment; its number is the place of the fragment's event."""
+    f = matrix.ordinal(frags(spark, d), "event_id", "n")
+    return f.select((F.col("n") + 1).alias("region"), "chrom", "start", (F.col("start") + 7200).alias("end_"))
 
 
 @query("select * from cells where cell_type ilike 'build%' and sample_id in (1, 2, 3) and total > 0")
@@ -111,14 +107,14 @@ def matrix_2d_slice(spark, d):
     return matrix.slice_2d(coo(spark, d), (10, 50), (20, 120), 10**9, 10**9)
 
 
-@query("select cell_idx, coalesce(s.value, 0.0)::double as value from cells left join (select * from sparse where col_idx = 5) s on row_idx = cell_idx")
+@query("select cell_idx, coalesce(s.value, 0.0)::double as value from cells left join (select * from coo where col_idx = 5) s on row_idx = cell_idx")
 def matrix_dense_column(spark, d):
-    return matrix.dense_column(cells(spark, d), sparse(spark, d), 5)
+    return matrix.dense_column(cells(spark, d), coo(spark, d), 5)
 
 
-@query("select cell_idx, coalesce(sum(case when col_idx = 5 then value end), 0.0)::double as f0, coalesce(sum(case when col_idx = 2 then value end), 0.0)::double as f1 from cells left join sparse on row_idx = cell_idx group by cell_idx")
+@query("select cell_idx, coalesce(sum(case when col_idx = 5 then value end), 0.0)::double as f0, coalesce(sum(case when col_idx = 2 then value end), 0.0)::double as f1 from cells left join coo on row_idx = cell_idx group by cell_idx")
 def matrix_dense_columns(spark, d):
-    return matrix.dense_columns(cells(spark, d), sparse(spark, d), [5, 2])
+    return matrix.dense_columns(cells(spark, d), coo(spark, d), [5, 2])
 
 
 @query("select row_idx, col_idx, value from coo")
@@ -136,9 +132,9 @@ def matrix_binary(spark, d):
     return matrix.counted(hits(spark, d), "row_idx", "col_idx", binary=True)
 
 
-@query("select cell_idx, coalesce(s.depth, 0.0)::double as depth from cells left join (select row_idx, sum(value) as depth from sparse group by 1) s on row_idx = cell_idx")
+@query("select cell_idx, coalesce(s.depth, 0.0)::double as depth from cells left join (select row_idx, sum(value) as depth from coo group by 1) s on row_idx = cell_idx")
 def cell_depth(spark, d):
-    return matrix.cell_depth(cells(spark, d), sparse(spark, d))
+    return matrix.cell_depth(cells(spark, d), coo(spark, d))
 
 
 @query("select col_idx, sum(value)::double as total, count(*) as n_cells from coo group by 1")
@@ -156,9 +152,9 @@ def csc_feature_scan(spark, d):
     return matrix.feature_index(coo(spark, d), 8).groupBy("col_idx").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("row_idx").alias("last_row"))
 
 
-@query("select row_idx // 256 as batch, row_idx, count(*) as n, sum(value)::double as total from sparse group by 1, 2")
+@query("select row_idx // 256 as batch, row_idx, count(*) as n, sum(value)::double as total from coo group by 1, 2")
 def chunk_batches(spark, d):
-    c = matrix.chunks(sparse(spark, d), batch=256)
+    c = matrix.chunks(coo(spark, d), batch=256)
     return c.select("batch", "row_idx", F.size("entries").cast("long").alias("n"), F.aggregate("entries", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"))
 
 
@@ -184,14 +180,14 @@ def frag_region(spark, d):
     return intervals.in_region(frags(spark, d), "click", 50_000, 90_000).select("chrom", "start", "end_", "cell_idx")
 
 
-@query("select region, f.chrom, f.start, f.end_, f.cell_idx from frags f join few r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start where region <= 50")
+@query("select region, f.chrom, f.start, f.end_, f.cell_idx from frags f join wide r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
 def frag_regions_join(spark, d):
-    return intervals.in_regions(frags(spark, d), few(spark, d).where("region <= 50")).select("region", "chrom", "start", "end_", "cell_idx")
+    return intervals.in_regions(frags(spark, d), wide(spark, d)).select("region", "chrom", "start", "end_", "cell_idx")
 
 
-@query("select f.event_id, f.chrom, r.region from frags f join few r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
+@query("select f.event_id, f.chrom, r.region from frags f join wide r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
 def frag_overlap_binned(spark, d):
-    return intervals.overlap_join(frags(spark, d), few(spark, d), 3600).select("event_id", "chrom", "region")
+    return intervals.overlap_join(frags(spark, d), wide(spark, d), 3600).select("event_id", "chrom", "region")
 
 
 @query("select chrom, start, end_, cell_idx from frags where cell_idx in (select cell_idx from cells where cell_type = 'MACHINERY')")
@@ -282,21 +278,21 @@ def merge_regions(spark, d):
     return intervals.merged(frags(spark, d), slice_size=86_400).withColumn("n", F.col("n").cast("long"))
 
 
-@query("select region, chrom, greatest(start - 1000, 0) as start, end_ + 500 as end_ from few")
+@query("select region, chrom, greatest(start - 1000, 0) as start, end_ + 500 as end_ from wide")
 def extend_regions(spark, d):
-    return few(spark, d).select("region", "chrom", *R.extended(F.col("start"), F.col("end_"), 1000, 500))
+    return wide(spark, d).select("region", "chrom", *R.extended(F.col("start"), F.col("end_"), 1000, 500))
 
 
-@query("select a.region as a, b.region as b from few a join few b on a.chrom = b.chrom and a.start < b.end_ and a.end_ > b.start and a.region < b.region")
+@query("select a.region as a, b.region as b from wide a join wide b on a.chrom = b.chrom and a.start < b.end_ and a.end_ > b.start and a.region < b.region")
 def regions_overlap_pairs(spark, d):
-    a = few(spark, d)
+    a = wide(spark, d)
     return intervals.overlap_join(a, a, 7200).where("region < b_region").select(F.col("region").alias("a"), F.col("b_region").alias("b"))
 
 
-@query("select region, chrom, start, end_ from few")
+@query("select region, chrom, start, end_ from wide")
 def parse_region(spark, d):
     text = F.concat("chrom", F.lit(":"), F.format_number("start", 0), F.lit("-"), F.col("end_").cast("string"))
-    return few(spark, d).select("region", text.alias("text")).select("region", *R.region_columns(F.col("text")))
+    return wide(spark, d).select("region", text.alias("text")).select("region", *R.region_columns(F.col("text")))
 
 
 @query("select gene_idx, case when gene_idx % 3 = 0 then null else 'chr' || (gene_idx % 5) end as chr, case when gene_idx % 3 = 0 then null else gene_idx * 100 end as start, case when gene_idx % 3 = 0 then null else gene_idx * 100 + 50 end as end_ from genes")
@@ -370,9 +366,9 @@ def merge_fragments_offset(spark, d):
     return setops.merge_fragments([(f.where("cell_idx < 50"), 0), (f.where("cell_idx >= 50"), 5000)])
 
 
-@query("select 'a:' || gene_id as key, symbol as value from genes where gene_idx < 50 union all select 'b:' || gene_id, symbol from genes where gene_idx < 50")
+@query("select 'a:' || gene_id as key, symbol as value from genes union all select 'b:' || gene_id, symbol from genes")
 def merge_metadata_prefix(spark, d):
-    m = genes(spark, d).where("gene_idx < 50").select(F.col("gene_id").alias("key"), F.col("symbol").alias("value"))
+    m = genes(spark, d).select(F.col("gene_id").alias("key"), F.col("symbol").alias("value"))
     return setops.merge_metadata([m, m], ["a", "b"])
 
 
@@ -423,7 +419,9 @@ def downsample_stratified_sizes(spark, d):
     return subset.stratum_sizes(cells(spark, d), "cell_type", 100)
 
 
-@query(None)
+@query(""", st as (select cell_type, least(greatest(1, round_even(50 * (count(*)::double / (select count(*) from cells)), 0)::bigint), count(*)) as n from cells group by 1),
+r as (select cell_idx, cell_type, md5('42:' || cell_idx) as h, row_number() over (partition by cell_type order by md5('42:' || cell_idx)) as k from cells)
+select cell_idx from (select cell_idx, h from r join st using (cell_type) where k <= n order by h limit 50)""")
 def downsample_stratified(spark, d):
     return subset.downsample(cells(spark, d), n=50, group="cell_type")
 
@@ -478,9 +476,7 @@ def gtf_query_genes(spark, d):
 @query(_GTF + "select gene_id, feature from g, (values ('transcript'), ('exon')) x(feature) where biotype like 'PROMO%'")
 def gtf_biotype_cascade(spark, d):
     p = _gtf(spark, d)
-    kinds = ["PROMO BRUSHED", "PROMO PLATED", "PROMO POLISHED", "PROMO ANODIZED", "PROMO BURNISHED"]
-    kinds = [r[0] for r in genes(spark, d).select("biotype").where("biotype like 'PROMO%'").distinct().limit(1000).collect()] or kinds
-    return annotation.children(p, ["gene", "transcript", "exon"], annotation.genes(p, kinds)).select("gene_id", "feature")
+    return annotation.children(p, ["gene", "transcript", "exon"], annotation.genes(p).where("gene_type like 'PROMO%'")).select("gene_id", "feature")
 
 
 @query(_GTF + "select gene_id, feature from g, (values ('transcript'), ('exon')) x(feature) where size % 3 = 1")
@@ -491,13 +487,17 @@ def gtf_tag_cascade(spark, d):
 @query("select cell_idx, barcode, m.n as n_orders from cells left join (select o_custkey, count(*) as n from orders where o_orderstatus = 'P' group by 1) m on o_custkey = cell_idx")
 def arc_left_join_metrics(spark, d):
     m = _t(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("cell_idx")).agg(F.count("*").alias("n_orders"))
-    return cells(spark, d).select("cell_idx", "barcode").join(m, "cell_idx", "left")
+    return entity.with_metrics(cells(spark, d).select("cell_idx", "barcode"), cells(spark, d).join(m, "cell_idx").select("barcode", "n_orders"))
 
 
-@query("select g.gene_id, s_name as annotation from genes g left join supplier on s_suppkey = gene_idx")
+@query("select gene_idx as peak_idx, 'chr' || (gene_idx % 5) as chr, gene_idx * 100 as start, s_name as nearest_gene, s_suppkey % 7 as distance_to_tss, case when s_suppkey is not null then 'near' end as annotation from genes left join supplier on s_suppkey = gene_idx")
 def peak_annotation_left_join(spark, d):
-    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("gene_idx"), F.col("s_name").alias("annotation"))
-    return genes(spark, d).join(s, "gene_idx", "left").select("gene_id", "annotation")
+    place = lambda i: [F.concat(F.lit("chr"), (i % 5).cast("string")), i * 100, i * 100 + 50]
+    named = lambda cols, names: [c.alias(n) for c, n in zip(cols, names, strict=True)]
+    peaks = genes(spark, d).select(F.col("gene_idx").alias("peak_idx"), *named(place(F.col("gene_idx")), ("chr", "start", "end_")))
+    i = F.col("s_suppkey")
+    table = _t(spark, d, "supplier").select(*named(place(i), ("chrom", "start", "end")), F.col("s_name").alias("gene"), (i % 7).cast("string").alias("distance"), F.lit("near").alias("peak_type"))
+    return entity.with_annotation(peaks, table).drop("end_")
 
 
 @query("select chrom, n, case when chrom = 'chrX' then 23 when chrom = 'chrY' then 24 when chrom = 'chrM' then 25 when chrom = 'chr0' or chrom = 'chr23' then 1000 else substr(chrom, 4)::int end as rank from (select case when gene_idx % 27 = 24 then 'chrX' when gene_idx % 27 = 25 then 'chrY' when gene_idx % 27 = 26 then 'chrM' else 'chr' || (gene_idx % 27) end as chrom, count(*) as n from genes group by 1)")
@@ -539,53 +539,75 @@ def repair_truncate(spark, d):
     return validation.truncated(coo(spark, d), 80, 100)
 
 
-@query(None)
-def stream_import_counts(spark, d):
-    from ..streaming.fragments import counts_of
+@query("select cell_idx, barcode from cells where cell_type is distinct from 'BUILDING' and sample_id is distinct from 3")
+def entity_query_is_not(spark, d):
+    return entity.query(cells(spark, d), "cell_type IS NOT \"BUILDING\" AND \"sample_id\" IS NOT 3").select("cell_idx", "barcode")
 
-    return counts_of(spark, _t(spark, d, "events").schema, f"{d}/events.parquet")
 
+@query("select cell_idx, barcode, cell_idx % 3 as extra from cells")
+def entity_with_column(spark, d):
+    c = cells(spark, d)
+    return entity.with_column(c.select("cell_idx", "barcode"), "cell_idx", "extra", c.select("cell_idx", (F.col("cell_idx") % 3).alias("value")))
 
-def _numbered(chosen):
-    return matrix.ordinal(chosen, "event_id", "n").select((F.col("n") + 1).alias("region"), "chrom", "start", (F.col("start") + 7200).alias("end_"))
 
+@query("select cell_idx, barcode from cells where cell_idx in (select o_custkey from orders where o_orderstatus = 'P')")
+def entity_keep(spark, d):
+    mask = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("cell_idx"))
+    return entity.keep(cells(spark, d).select("cell_idx", "barcode"), "cell_idx", mask)
 
-def every_region(spark, d):
-    """As ``few``, of all events."""
-    return _numbered(frags(spark, d))
 
+@query(", r as (select *, row_number() over (partition by barcode order by cell_idx desc) as k from cells) select chrom, start, end_, r.cell_idx, 2 as dup_count from frags f join r on 'Customer#' || lpad(f.cell_idx::varchar, 9, '0') = r.barcode and k = 1")
+def barcode_to_cell(spark, d):
+    f = frags(spark, d).withColumn("barcode", F.concat(F.lit("Customer#"), F.lpad(F.col("cell_idx").cast("string"), 9, "0")))
+    return fragments.with_cells(f.withColumn("dup_count", F.lit(2)).drop("cell_idx"), cells(spark, d))
 
-_EVERY = ", every as (select row_number() over (order by event_id) as region, chrom, start, start + 7200 as end_ from frags) "
 
+@query("select gene_idx, start, end_ from (select gene_idx, 'chr' || (gene_idx % 4) as chrom, gene_idx * 1000 as start, gene_idx * 1000 + 500 as end_ from genes) where chrom = 'chr2' and start < 700000 and end_ > 200000")
+def peaks_in_region(spark, d):
+    g = genes(spark, d).select("gene_idx", F.concat(F.lit("chr"), (F.col("gene_idx") % 4).cast("string")).alias("chrom"), (F.col("gene_idx") * 1000).alias("start"), (F.col("gene_idx") * 1000 + 500).alias("end_"))
+    return intervals.in_region(g, "chr2", 200_000, 700_000).select("gene_idx", "start", "end_")
 
-@query(_EVERY + "select region, f.chrom, f.start, f.end_, f.cell_idx from frags f join every r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
-def frag_regions_join_all(spark, d):
-    return intervals.in_regions(frags(spark, d), every_region(spark, d)).select("region", "chrom", "start", "end_", "cell_idx")
 
+@query(_GTF + "select gene_id, feature, start from g, (values ('transcript'), ('exon')) x(feature) where chrom = 'chr3' and feature = 'exon'")
+def gtf_query_exons(spark, d):
+    e = annotation.children(_gtf(spark, d), ["transcript", "exon"])
+    return annotation.query_exons(e, "chr3", features=["exon"]).select("gene_id", "feature", "start")
 
-@query(_EVERY + "select f.event_id, f.chrom, r.region from frags f join every r on f.chrom = r.chrom and f.start < r.end_ and f.end_ > r.start")
-def frag_overlap_binned_all(spark, d):
-    return intervals.overlap_join(frags(spark, d), every_region(spark, d), 3600).select("event_id", "chrom", "region")
 
+@query("select 'chr' || (cell_idx % 30) as chrom, start, end_, cell_idx from frags where cell_idx % 30 between 1 and 22")
+def standard_chromosomes(spark, d):
+    f = frags(spark, d).withColumn("chrom", F.concat(F.lit("chr"), (F.col("cell_idx") % 30).cast("string")))
+    return fragments.standard_only(f).select("chrom", "start", "end_", "cell_idx")
 
-@query(_EVERY + "select region, chrom, greatest(start - 1000, 0) as start, end_ + 500 as end_ from every")
-def extend_regions_all(spark, d):
-    return every_region(spark, d).select("region", "chrom", *R.extended(F.col("start"), F.col("end_"), 1000, 500))
 
+@query("select cell_idx, row_number() over (partition by cell_type order by cell_idx) - 1 as n, cell_type from cells where cell_type = 'MACHINERY'")
+def rows_numbered(spark, d):
+    return matrix.ordinal(cells(spark, d).where("cell_type = 'MACHINERY'").select("cell_idx", "cell_type"), "cell_idx", "n")
 
-@query(_EVERY + "select a.region as a, b.region as b from every a join every b on a.chrom = b.chrom and a.start < b.end_ and a.end_ > b.start and a.region < b.region")
-def regions_overlap_pairs_all(spark, d):
-    a = every_region(spark, d)
-    return intervals.overlap_join(a, a, 7200).where("region < b_region").select(F.col("region").alias("a"), F.col("b_region").alias("b"))
 
+@query("select row_idx, col_idx, value from coo where row_idx in (select cell_idx from cells where sample_id < 20)")
+def orphans_removed(spark, d):
+    return validation.without_orphans(coo(spark, d), cells(spark, d).where("sample_id < 20").select(F.col("cell_idx").alias("row_idx")), "row_idx").select("row_idx", "col_idx", "value")
 
-@query(_EVERY + "select region, chrom, start, end_ from every")
-def parse_region_all(spark, d):
-    text = F.concat("chrom", F.lit(":"), F.format_number("start", 0), F.lit("-"), F.col("end_").cast("string"))
-    return every_region(spark, d).select("region", text.alias("text")).select("region", *R.region_columns(F.col("text")))
 
+@query("select 'length' as what, count(*)::bigint as n, bool_and(h) as same from (select gene_id = gene_id as h from genes)")
+def identical_axes(spark, d):
+    g = genes(spark, d).select("gene_idx", "gene_id")
+    same = setops.same_axis([g, g.repartition(3)], "gene_idx", "gene_id")
+    return g.agg(F.lit("length").alias("what"), F.count("*").alias("n")).withColumn("same", F.lit(same))
 
-@query("select 'a:' || gene_id as key, symbol as value from genes union all select 'b:' || gene_id, symbol from genes")
-def merge_metadata_prefix_all(spark, d):
-    m = genes(spark, d).select(F.col("gene_id").alias("key"), F.col("symbol").alias("value"))
-    return setops.merge_metadata([m, m], ["a", "b"])
+
+@query("select name, rows_, cols_ from (select 'RNA_counts' as name, (select max(row_idx) + 1 from coo) as rows_, (select max(col_idx) + 1 from coo) as cols_) where rows_ <= (select max(cell_idx) + 1 from cells)")
+def validate_matrix(spark, d):
+    b = validation.matrix_bounds(coo(spark, d)).first()
+    report = validation.Report()
+    n = cells(spark, d).agg(F.max("cell_idx") + 1).first()[0]
+    validation.check_matrix(report, "RNA_counts", coo(spark, d), n, b["cols"], n, b["cols"])
+    return spark.createDataFrame([(x.split(":")[1], b["rows"], b["cols"]) for x in report.passed if x.startswith("matrix_rows")], "name string, rows_ long, cols_ long")
+
+
+@query("select user_id as cell_idx, count(*) as n_fragments from events group by 1")
+def stream_cell_counts(spark, d):
+    from ..streaming.fragments import counts_of
+
+    return counts_of(spark, _t(spark, d, "events").schema, f"{d}/events.parquet")

@@ -13,12 +13,3 @@ def test_query_equals_sql(spark, name):
         assert plain(got.toPandas()) == sql_rows(catalog.SQL[name], FOLDER)
     else:
         assert got.count() > 0
-
-
-def test_whole_tables_are_read(spark):
-    rows = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet").count()
-    got = {n: catalog.QUERIES[n](spark, FOLDER) for n in ("frag_regions_join_all", "frag_overlap_binned_all", "extend_regions_all", "parse_region_all", "merge_metadata_prefix_all")}
-    assert got["extend_regions_all"].count() == got["parse_region_all"].count() == rows("events")
-    # every event overlaps the region that begins with it
-    assert got["frag_regions_join_all"].select("region").distinct().count() == got["frag_overlap_binned_all"].select("region").distinct().count() == rows("events")
-    assert got["merge_metadata_prefix_all"].count() == 2 * rows("part")

@@ -11,13 +11,16 @@ then applied to every document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, settled, whole
 
-#: Slices of the ranking at each of two levels; the last slice holds about rows / SLICES**2 documents of a source.
-SLICES = 4096
+#: Slices of the ranking at each of three levels; the last slice holds about rows / SLICES**LEVELS documents of a source.
+SLICES, LEVELS = 256, 3
 #: Word separators are space and \x09-\x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Wishes count in steps of this, so that their sums are exact; and the largest one.
@@ -114,11 +117,13 @@ def _decide(docs: DataFrame, s: Scratch, weights: list[float], total_share: floa
     # words still wanted after the certain copies, by source
     sure = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
     rest = sure.join(factors, F.col("source").eqNullSafe(F.col("c_source"))).select(F.col("c_source").alias("r_source"), (F.col("target") - F.col("sure")).alias("rest"))
-    rows = ranked.where("z is not null").withColumn("s0", _slice("z", 0)).withColumn("s1", _slice("z", 1))
-    full = s.put(_filled(rows, s.put(rest), []))
-    full = s.put(_filled(rows, full, ["s0"]))
+    path = [f"s{i}" for i in range(LEVELS)]
+    rows = ranked.where("z is not null").withColumns({k: _slice("z", i) for i, k in enumerate(path)})
+    full = s.put(rest)
+    for i in range(LEVELS):
+        full = s.put(_filled(rows, full, path[:i]))
     # the last slice: rows alike in all columns are counted, so that no number of them is in one place
-    here = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("s0") == F.col("r_s0")) & (F.col("s1") == F.col("r_s1"))
+    here = reduce(and_, [F.col(k) == F.col(f"r_{k}") for k in path], F.col("source").eqNullSafe(F.col("r_source")))
     few = rows.join(bounded(full), here).groupBy("source", "place").agg(F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("size").alias("size"))
     order = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0))
@@ -127,7 +132,8 @@ def _decide(docs: DataFrame, s: Scratch, weights: list[float], total_share: floa
     few = few.withColumn("drawn", F.greatest(F.least(drawn, F.col("n")), F.lit(0)).cast("long"))
     last = s.put(few.where("drawn > 0").groupBy("source").agg(F.max(F.struct("place", "n", "drawn")).alias("x")))
     # a source whose last slice has no row drawn is full at the slice's edge
-    edge = F.struct(((F.col("r_s0") + F.col("r_s1") / SLICES) / SLICES).alias("z"), *[F.lit(None).cast(k).alias(c) for c, k in (("doc_id", docs.schema["doc_id"].dataType), ("size", "long"), ("row", "long"))])
+    begin = reduce(add, [F.col(f"r_{k}") / float(SLICES ** (i + 1)) for i, k in enumerate(path)])
+    edge = F.struct(begin.alias("z"), *[F.lit(None).cast(k).alias(c) for c, k in (("doc_id", docs.schema["doc_id"].dataType), ("size", "long"), ("row", "long"))])
     marks = full.join(last, F.col("r_source").eqNullSafe(F.col("source")), "left").select("r_source", F.coalesce("x.place", edge).alias("last"), F.coalesce("x.n", F.lit(0)).alias("n"), F.coalesce("x.drawn", F.lit(0)).alias("drawn"))
     return base, s.put(factors.join(marks, F.col("c_source").eqNullSafe(F.col("r_source")), "left").drop("r_source"))
 

@@ -1,7 +1,7 @@
 import pytest
 from compare import plain, sql_rows
 
-from celltide.plans import catalog
+from celltide.plans import catalog, stored  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -132,7 +132,7 @@ def store_graph(spark, d):
 
 
 @query("select c.cell_idx, count(event_id) as n_fragments from cells c left join frags f on f.cell_idx = c.cell_idx group by 1")
-def store_fragmentcoo(spark, d):
+def store_fragment_counts(spark, d):
     ds = _made(spark, d, counts=False)
     ds.set_fragments(frags(spark, d), deduplicate=False)
     return ds.cells.select("cell_idx", "n_fragments")

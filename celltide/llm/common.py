@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,17 @@ class Scratch:
         self.paths.append(path)
         return out
 
+    def measured(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """As ``put``, with aggregates over its rows that are taken while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, *[a.alias(name) for name, a in aggregates.items()]))
+        return out, seen.get
+
+    def side(self, df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+        """As ``put``, marked for broadcast like ``bounded`` by what is measured while it is written."""
+        out, found = self.measured(df, n=F.count(F.lit(1)), total=F.sum(_bytes(df)))
+        return F.broadcast(out) if found["n"] <= rows and (found["total"] or 0) <= size else out
+
     def keep(self, df: DataFrame) -> DataFrame:
         out, path = self._write(df)
         for paths in _gathering:
@@ -135,11 +146,15 @@ def _width(kind: T.DataType, value: Column) -> Column:
     return F.lit(16 * len(kind) if isinstance(kind, T.StructType) else 8)
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    return reduce(add, [_width(f.dataType, df[f"`{f.name}`"]) for f in df.schema]).cast("long")
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and about ``size`` bytes, else unmarked, so that the join shuffles."""
     with tidy(df.sparkSession):
-        width = reduce(add, [_width(f.dataType, df[f"`{f.name}`"]) for f in df.schema])
-        n, total = df.select(width.cast("long").alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+        n, total = df.select(_bytes(df).alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and total <= size else df
 
 

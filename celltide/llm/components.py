@@ -16,28 +16,25 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     """(node, root) for every node of ``edges`` (u, v of one type); root is the smallest node reachable.
 
     Loops and repeated edges are allowed, rows with a null end are ignored and an empty input gives an empty
-    result. A hub's edges are only ever in aggregates with a partial step and in inner joins that adaptive
-    execution can split. Raises RuntimeError if it hasn't settled after ``max_rounds``.
+    result. A hub's edges are only ever in aggregates with a partial step and in inner joins with written minima:
+    those are broadcast if measured to be small, else both sides are plain shuffles that adaptive execution can split. Raises RuntimeError if it hasn't settled after ``max_rounds``.
     """
-    e = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(edges["u"].isNotNull() & edges["v"].isNotNull()).distinct())
+    state = {"n": F.count_if(F.col("u") != F.col("v")), "sum": F.sum(F.when(F.col("u") != F.col("v"), F.xxhash64("u", "v").cast("decimal(38,0)")))}
+    e, now = scratch.measured(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(edges["u"].isNotNull() & edges["v"].isNotNull()).distinct(), **state)
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
     e = e.where("u <> v")
     before = None
     for _ in range(max_rounds):
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
+        if now == before or not now["n"]:
             break
-        before = state
+        before = now
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _star(sym, mins).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.put(large)
-        mins = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _star(large, mins)
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(mins.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.put(small)
-        scratch.drop(large)
-        e = new
+        mins = scratch.side(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.put(_star(sym, mins).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch.side(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = _star(large, least)
+        e, now = scratch.measured(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), **state)
+        scratch.drop(mins, large, least)
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("root")), nodes["node"] == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))

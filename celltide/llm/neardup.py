@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, as_bytes, bounded, small_batches
+from .common import LOWER, Scratch, as_bytes, small_batches
 from .components import connected_components
 
 #: Words kept with their hash by a Python worker, at most.
@@ -230,15 +230,15 @@ def _tiles(members: DataFrame, c: Config) -> DataFrame:
 
 
 def _sets_of(needed: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s: Scratch) -> DataFrame:
-    """(node, hashes) of the nodes in ``needed``; ids: (node, doc_id), one document of each node."""
-    wanted = s.put(ids.join(bounded(needed), "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct())
-    texts = docs.select("doc_id", "text").join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return s.put(_sets(texts, c).join(bounded(needed), "node", "left_semi").dropDuplicates(["node"]))
+    """(node, hashes) of the nodes in ``needed``, a side of ``s``; ids: (node, doc_id), one document of each node."""
+    wanted = s.side(ids.join(needed, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct())
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return s.put(_sets(texts, c).join(needed, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _verified(likely: DataFrame, docs: DataFrame, ids: DataFrame, c: Config, s: Scratch) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose full sets are similar enough."""
-    needed = s.put(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
+    needed = s.side(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
     sets = _sets_of(needed, docs, ids, c, s)
     pairs = likely
     for x in "ab":
@@ -271,24 +271,24 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), by_row: bool = False)
         s.drop(base)
         band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * i * c.rows + 1, 2 * c.rows)) for i in range(c.bands)])).alias("band", "key")
         banded = nodes.select("node", "n", band).select("key", "node", "n")
-        full = s.put(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-        met = s.put(banded.join(bounded(full), "key"))
+        full = s.side(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        met = s.put(banded.join(full, "key"))
         # the most central member of each bucket, and each other member's pair with it
-        central = s.put(met.groupBy("node").agg(F.sum("size").alias("meets")))
-        centres = met.join(bounded(central), "node").groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("x"))
-        centres = s.put(centres.select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n_c")))
-        stars = met.join(bounded(centres), "key").where((F.col("node") != F.col("centre")) & _close("n", "n_c", c))
+        central = s.side(met.groupBy("node").agg(F.sum("size").alias("meets")))
+        centres = met.join(central, "node").groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("x"))
+        centres = s.side(centres.select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n_c")))
+        stars = met.join(centres, "key").where((F.col("node") != F.col("centre")) & _close("n", "n_c", c))
         stars = s.put(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        sigs = s.put(nodes.join(bounded(central.select("node")), "node", "left_semi").select("node", "n", "sig"))
+        sigs = s.put(nodes.join(central.select("node"), "node", "left_semi").select("node", "n", "sig"))
         ids = nodes.select("node", "doc_id")
         links = _verified(s.put(_likely(_with_sigs(stars, sigs), c)), docs, ids, c, s)
-        roots = s.put(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), s))
+        roots = s.side(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), s))
         # members of a bucket that are not in its centre's component
         r = roots.select(F.col("node").alias("r_node"), "root")
-        of = lambda df, node, name: df.join(bounded(r), F.col(node) == F.col("r_node"), "left").withColumn(name, F.coalesce("root", node)).drop("r_node", "root")
-        state = of(met, "node", "own").join(bounded(s.put(of(centres, "centre", "main"))), "key").withColumn("todo", F.col("own") != F.col("main"))
-        open_keys = s.put(state.groupBy("key").agg(F.sum(F.col("n") + ROW).alias("mass"), F.sum(F.when(F.col("todo"), F.col("n") + ROW)).alias("todo_mass")).where("todo_mass > 0"))
-        state = s.put(state.join(bounded(open_keys), "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "mass", "todo_mass"))
+        of = lambda df, node, name: df.join(r, F.col(node) == F.col("r_node"), "left").withColumn(name, F.coalesce("root", node)).drop("r_node", "root")
+        state = of(met, "node", "own").join(s.side(of(centres, "centre", "main")), "key").withColumn("todo", F.col("own") != F.col("main"))
+        open_keys = s.side(state.groupBy("key").agg(F.sum(F.col("n") + ROW).alias("mass"), F.sum(F.when(F.col("todo"), F.col("n") + ROW)).alias("todo_mass")).where("todo_mass > 0"))
+        state = s.put(state.join(open_keys, "key").select("key", "node", "n", F.col("own").alias("root"), "todo", "size", "mass", "todo_mass"))
         s.drop(met, full)
         few = state.where(F.col("size") <= SMALL_BUCKET)
         x = few.where("todo").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("r_x"))
@@ -296,19 +296,20 @@ def near_duplicates(docs: DataFrame, c: Config = Config(), by_row: bool = False)
         pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
         more = _verified(s.put(_likely(_with_sigs(pairs, sigs), c)), docs, ids, c, s)
         many = state.where(F.col("size") > SMALL_BUCKET)
-        in_many = s.put(many.select("node").distinct())
+        in_many = s.side(many.select("node").distinct())
         if not in_many.isEmpty():
             sets = _sets_of(in_many, docs, ids, c, s)
             more = s.put(more.union(_tiles(many.join(sigs.select("node", "sig"), "node").join(sets, "node"), c)))
-        links = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = connected_components(links, s) if not more.isEmpty() else roots
+        # the components so far stand for their links
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select("a", "b")), s)
         named = s.put(roots.join(ids, "node"))
-        first = s.put(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-        named = named.join(bounded(first), "root").select("node", "component_id", "root")
+        first = s.side(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+        named = named.join(first, "root").select("node", "component_id", "root")
         # copies that are in no link have their own smallest id
         copied = nodes.where("copies > 1").select("node", F.col("doc_id").alias("least"))
         known = copied.join(named, "node", "full").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root"))
-        known = bounded(s.put(known)).withColumnRenamed("node", "k_node")
+        known = s.side(known).withColumnRenamed("node", "k_node")
         out = rows.join(known, F.col("node") == F.col("k_node"), "left")
         component = F.coalesce("component_id", "doc_id")
         return s.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *([F.col("text_hash"), F.coalesce("root", "node").alias("root")] if by_row else [])))

@@ -12,6 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from compare import plain, sql_rows  # noqa: E402
 
 from celltide.llm import decontam, langid, license, mixing, neardup, queries, sharding, tokencount, topk, toxicity, urlfilter  # noqa: E402
+from celltide.llm.common import Scratch  # noqa: E402
+from celltide.llm.components import connected_components  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [(1, None, None), (2, "", "a"), (2, "", "a"), (None, "one two three", None), (5, "x" * 5000, "b"), (6, "Ab ab ab ab.\nMIT", "b"), (6, "Ab ab ab ab.\nMIT", "b"), (7, " \t\n", "a")]
@@ -458,3 +460,27 @@ def test_every_label_is_learned(spark):
     rows = [("the cat sat on the mat", "en")] * 60 + [(f"der hund und die katze {k}", "de") for k in range(20)] + [("le chat est ici " * 40, "fr")]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"), sample_docs=1, sample_chars=300)
     assert model.langs == ["de", "en", "fr"]
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_components_brute(spark, monkeypatch, rows):
+    """Against union-find: a hub, a chain, loops, repeats and null ends, with broadcast and with shuffled minima."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    edges = [(0, int(i)) for i in rng.integers(1000, 1400, 500)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7), (3, None), (None, None)]
+    edges += [tuple(map(int, x)) for x in rng.integers(3000, 3200, (120, 2))]
+    root = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and v is not None:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    monkeypatch.setattr(Scratch.side, "__defaults__", (rows, 32_000_000))
+    with Scratch(spark) as s:
+        found = connected_components(spark.createDataFrame(edges, "u long, v long"), s)
+        assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in root}
+        assert connected_components(spark.createDataFrame([], "u long, v long"), s).isEmpty()

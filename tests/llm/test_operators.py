@@ -484,3 +484,27 @@ def test_components_brute(spark, monkeypatch, rows):
         found = connected_components(spark.createDataFrame(edges, "u long, v long"), s)
         assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in root}
         assert connected_components(spark.createDataFrame([], "u long, v long"), s).isEmpty()
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """All but the last return the columns of their input, whatever those are called."""
+    import corpus_pipeline as p
+
+    names = ["__id", "__hash", "k_id", "d", "p", "id", "hash", "a.b", "__p"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 30")
+    docs = docs.union(docs.where("doc_id < 3")).select("*", *[F.col("doc_id").alias(n) for n in names])
+    for stage in (p.identify_language, p.drop_near_duplicates, p.decontaminate, p.mix_sources):
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        kept = out.select("doc_id", *[F.col(f"`{n}`") for n in names]).collect()
+        assert kept and all(set(r) == {r[0]} for r in kept)
+    assert p.drop_near_duplicates(spark, docs, FOLDER).count() == docs.select("doc_id").distinct().count() - len(_copies(docs))
+
+
+def _copies(docs):
+    """Ids of documents with the text of an earlier one."""
+    first, found = {}, set()
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        if first.setdefault(r.text, r.doc_id) != r.doc_id:
+            found.add(r.doc_id)
+    return found

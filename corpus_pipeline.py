@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celltide.llm import decontam, langid, mixing, neardup, sharding
-from celltide.llm.common import Scratch, bounded, checkpoint_dir, delete, gathered, table
+from celltide.llm.common import Scratch, bounded, checkpoint_dir, delete, gathered, table, whole
 from celltide.llm.queries import SHARDS
 
 #: A document stays if its likeliest language has this share of the likelihood.
@@ -19,12 +19,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Learn from the labelled documents, drop those without a language; an unset label gets the prediction.
 
     Null and empty texts, and texts without letters, have no language and go. Rows that repeat are judged alike; an
-    empty table stays empty, and without any label all documents go, as nothing is learned.
+    empty table stays empty, and without any label all documents go, as nothing is learned. Other columns can have any name.
     """
     model = langid.train(docs)
-    judged = docs.withColumn("__p", langid.predict(docs, model))
-    kept = judged.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= LEAST_SCORE))
-    return kept.select(*[F.coalesce("lang", "__p.lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    judged = docs.select(whole(docs).alias("d"), langid.predict(docs, model).alias("p"))
+    kept = judged.where((F.col("p.lang_pred") != "und") & (F.col("p.score") >= LEAST_SCORE))
+    return kept.select(*[F.coalesce("d.lang", "p.lang_pred").alias(c) if c == "lang" else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,24 +32,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by doc_id and text, so those that merely share a doc_id are documents of their own. Of rows
     alike in both one stays. Texts without a word have no copies and all stay, null ones too; so does an empty table.
+    Other columns can have any name.
     """
-    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    key = [F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")]
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
     with Scratch(spark) as s:
         found = s.put(neardup.near_duplicates(docs, by_row=True).where("root is not null").select("doc_id", "text_hash", "root"))
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-        groups = s.put(found.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select(F.col("root").alias("g_root"), "first"))
-        members = s.put(found.join(bounded(groups), F.col("root") == F.col("g_root")))
+        groups = s.side(found.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select(F.col("root").alias("g_root"), "first"))
+        members = s.put(found.join(groups, F.col("root") == F.col("g_root")))
         stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
         gone = s.keep(members.where(~stays).select(*key).distinct())
         # rows of the document that stays which repeat its text too: of these one stays
         twice = s.keep(members.where(stays).groupBy("doc_id", "text_hash").count().where("count > 1").select(*key))
-        left = docs.join(bounded(gone), same, "left_anti")
+        rows = docs.select(whole(docs).alias("d"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+        left = rows.join(bounded(gone), same, "left_anti")
         if twice.isEmpty():
-            return left
-        again = left.join(bounded(twice), same)
-        one = again.groupBy("__id", "__hash").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-        return left.join(bounded(twice), same, "left_anti").unionByName(one)
+            return left.select("d.*")
+        twice = bounded(twice)
+        one = left.join(twice, same).groupBy("id", "hash").agg(F.min("d").alias("d")).select("d.*")
+        return left.join(twice, same, "left_anti").select("d.*").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ class Scratch:
 
     def side(self, df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
         """As ``put``, marked for broadcast like ``bounded`` by what is measured while it is written."""
-        out, found = self.measured(df, n=F.count(F.lit(1)), total=F.sum(_bytes(df)))
+        out, found = self.measured(df, n=F.count(F.lit(1)), total=F.sum(row_bytes(df)))
         return F.broadcast(out) if found["n"] <= rows and (found["total"] or 0) <= size else out
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -146,15 +146,15 @@ def _width(kind: T.DataType, value: Column) -> Column:
     return F.lit(16 * len(kind) if isinstance(kind, T.StructType) else 8)
 
 
-def _bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row."""
-    return reduce(add, [_width(f.dataType, df[f"`{f.name}`"]) for f in df.schema]).cast("long")
+    return reduce(add, [_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema]).cast("long")
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and about ``size`` bytes, else unmarked, so that the join shuffles."""
     with tidy(df.sparkSession):
-        n, total = df.select(_bytes(df).alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+        n, total = df.select(row_bytes(df).alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and total <= size else df
 
 

@@ -11,9 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from compare import plain, sql_rows  # noqa: E402
 
-from celltide.llm import decontam, langid, license, mixing, neardup, queries, sharding, tokencount, topk, toxicity, urlfilter  # noqa: E402
+from celltide.llm import components, decontam, langid, license, mixing, neardup, queries, sharding, tokencount, topk, toxicity, urlfilter  # noqa: E402
 from celltide.llm.common import Scratch  # noqa: E402
-from celltide.llm.components import connected_components  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [(1, None, None), (2, "", "a"), (2, "", "a"), (None, "one two three", None), (5, "x" * 5000, "b"), (6, "Ab ab ab ab.\nMIT", "b"), (6, "Ab ab ab ab.\nMIT", "b"), (7, " \t\n", "a")]
@@ -479,11 +478,11 @@ def test_components_brute(spark, monkeypatch, rows):
         if u is not None and v is not None:
             a, b = sorted((find(u), find(v)))
             root[b] = a
-    monkeypatch.setattr(Scratch.side, "__defaults__", (rows, 32_000_000))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", rows)
     with Scratch(spark) as s:
-        found = connected_components(spark.createDataFrame(edges, "u long, v long"), s)
+        found = components.connected_components(spark.createDataFrame(edges, "u long, v long"), s)
         assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in root}
-        assert connected_components(spark.createDataFrame([], "u long, v long"), s).isEmpty()
+        assert components.connected_components(spark.createDataFrame([], "u long, v long"), s).isEmpty()
 
 
 def test_stages_take_columns_of_any_name(spark):
